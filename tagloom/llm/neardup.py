@@ -4,8 +4,8 @@ Signature-coordinate inverted join. A text's signature has COORDS coordinates, e
 distinct grams. Every text is posted under each (coordinate, value); an equi-join of the postings counts the
 coordinates two texts share, and pairs with at least MATCH of them are verified exactly on their gram sets.
 Prefix: a pair with MATCH common coordinates has one among any COORDS - MATCH + 1, so only that many are posted in the
-list join; the other MATCH - 1 coordinates are skipped there and compared for the pairs found (a pair whose prefix count
-suffices skips them too). With r = 5 rows a list holds texts that agree in five min-hashes, so lists of template phrases stay short.
+list join. The lists of the other MATCH - 1 coordinates are skipped; they are only looked up for pairs whose count in the prefix does
+not suffice. With r = 5 rows a list holds texts that agree in five min-hashes, so lists of template phrases stay short.
 
 Equal texts are one class: only classes are posted, and pairs of ids are made from class pairs and membership, so a group of
 copies costs one row a task. A class is known by two 64-bit hashes of its text; texts with the same first hash are
@@ -97,14 +97,17 @@ def _verified(gram: int, least: float):
 def class_pairs(docs: DataFrame, least: float, gram: int = GRAM, rows: int = ROWS, coords: int = COORDS, match: int = MATCH) -> DataFrame:
     """(ca, ha, cb, hb, similarity): pairs of different texts at or above the threshold. docs: (id, c, h, t)."""
     signed = docs.mapInArrow(_signatures(gram, rows, coords), "id string, c long, h long, toks array<long>")
-    prefix = coords - match + 1
     one = signed.groupBy("c").agg(F.first("toks").alias("toks"))
-    tail = F.slice("toks", prefix + 1, max(match - 1, 1)) if match > 1 else F.array().cast("array<bigint>")
-    posted = one.select("c", tail.alias("tail"), F.explode(F.slice("toks", 1, prefix)).alias("tok"))
-    other = posted.select(F.col("c").alias("c2"), F.col("tail").alias("tail2"), "tok")
-    met = posted.join(other, "tok").where("c < c2")
-    rest = F.aggregate(F.zip_with("tail", "tail2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    near = met.groupBy("c", "c2").agg(F.count(F.lit(1)).alias("n"), F.first(rest).alias("rest")).where(F.col("n") + F.col("rest") >= match).select("c", "c2")
+    prefix = coords - match + 1
+    posted = one.select("c", F.explode(F.slice("toks", 1, prefix)).alias("tok")).repartition("tok")
+    met = posted.join(posted.select(F.col("c").alias("c2"), "tok"), "tok").where("c < c2")
+    counted = met.groupBy("c", "c2").agg(F.count(F.lit(1)).alias("n"))
+    near = counted.where(F.col("n") >= match).select("c", "c2")
+    if match > 1:
+        tail = F.slice("toks", prefix + 1, match - 1)
+        short = counted.where(F.col("n") < match).join(one.select("c", tail.alias("x")), "c").join(one.select(F.col("c").alias("c2"), tail.alias("y")), "c2")
+        agreed = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
+        near = near.unionByName(short.where(F.col("n") + agreed >= match).select("c", "c2"))
     texts = docs.groupBy("c").agg(F.collect_set(F.struct("h", "t")).alias("s"))
     pairs = near.select(F.col("c").alias("ca"), F.col("c2").alias("cb"))
     pairs = pairs.join(texts.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca")
