@@ -1,0 +1,476 @@
+"""Template residue and error-page text.
+
+Passages (lines, long ones in pieces) are bags of features: tokens, pairs of neighbouring tokens, the shape around each symbol, and signs of
+filler (repetition, no function words). A naive
+Bayes model is learnt from positive and unlabelled passages by expectation-maximization: the positives are the trusted records below
+(messages and slots, written down as fixed values), the unlabelled ones a bounded sample of the corpus' own passages (SAMPLE distinct
+passages, those with the smallest hashes). Each round gives every unlabelled passage its probability of being residue and
+re-estimates both classes; a few trusted sentences of content that only speaks of errors, scripts or templates are held on the content side. Then
+every passage of every document is scored by its sum of log-odds, or by its best stretch of neighbouring tokens where that holds the sign of
+a slot (so that a slot in the middle of real content counts as itself), and a document's score is its best passage's.
+
+Defined cases: null and empty texts score 0 and are no cases; texts are scored whole, in pieces of at most PASSAGE characters a passage;
+repeated rows of one id give one row; an empty table gives no row and needs no model."""
+
+from __future__ import annotations
+
+import heapq
+import math
+import re
+from collections import defaultdict
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.runtime import table
+
+SAMPLE = 20_000  # unlabelled passages that the model is fitted on, at most
+PASSAGE = 400
+ROUNDS, PRIOR, SMOOTH, MASS, TRUST, COUNTER, TEMPER = 3, 0.01, 0.5, 1_000.0, 3.0, 10.0, 0.1
+THRESHOLD = 5.0
+NEW = -1.0  # log-odds of a feature that the model hasn't seen
+
+# Trusted records. Messages of error, missing, blocked and loading pages and of failed programs, and notices.
+MESSAGES = """\
+404 Not Found
+Error 404: the requested page could not be found
+HTTP Error 403
+HTTP Error 500
+Error 500: the requested item could not be loaded
+400 Bad Request
+401 Unauthorized
+403 Forbidden
+408 Request Timeout
+429 Too Many Requests
+500 Internal Server Error
+502 Bad Gateway
+503 Service Unavailable
+504 Gateway Timeout
+Internal Server Error
+Bad Gateway
+Service Unavailable
+Gateway Timeout
+Access denied
+Permission denied
+You do not have permission to view this page.
+You may not have permission to access this item.
+This page isn't available right now
+This page could not be displayed
+Sorry, the page you are looking for does not exist
+Oops! Something went wrong
+Something went wrong. Please try again later.
+Please try again later or go back to the home page.
+The server took too long to respond.
+The server took too long to answer.
+The connection has timed out
+Too many requests, please slow down
+Your session has expired, please log in again
+Request ID 8f3a21bc90de
+Reference 679861797087
+status=404 trace=2e34e919ce21
+status=500 trace=9d14ac01be77
+(5afa4f0be209)
+Loading...
+loading...
+Loading, please wait
+Please wait while the page is loading
+Checking your browser before accessing the site
+Please verify you are human
+Please enable JavaScript to continue
+Please enable cookies and JavaScript to continue
+JavaScript is disabled in your browser
+You need to enable JavaScript to run this app.
+This site requires cookies; turn them on and reload.
+This viewer requires scripts; turn them on and reload.
+Your browser is not supported, please upgrade your browser
+Please turn off your ad blocker
+Traceback (most recent call last):
+File "main.py", line 12, in run
+KeyError: 'name'
+ValueError: invalid literal
+TypeError: 'NoneType' object is not subscriptable
+Uncaught TypeError: cannot read properties of undefined (reading 'title')
+ReferenceError: item is not defined
+java.lang.NullPointerException
+at app.View.render(View.java:88)
+Exception in thread "main"
+Segmentation fault (core dumped)
+SQLSTATE[42S02]: table users doesn't exist
+Fatal error: Uncaught exception
+Warning: undefined variable
+{"code":500,"msg":"service timeout","data":null}
+{"error":"not found","status":404}
+[object Object]
+undefined
+null
+NaN
+None
+页面不存在
+页面不存在（404）
+您访问的页面不存在
+您访问的内容已下架或被移除
+您访问的题目已被删除
+抱歉，出错了
+抱歉，您访问的页面出错了
+服务器内部错误
+服务暂时不可用
+系统繁忙，请稍后再试
+系统维护中，请稍后访问
+网络异常，请检查网络设置
+网络开小差了
+请求超时，请刷新重试
+请求过于频繁，请稍后再来
+请求过于频繁，请 5 分钟后再来
+请求编号 84004c6046fe
+错误码：404
+错误码：500
+错误代码 502
+没有权限查看此内容
+没有权限访问该页面
+登录已过期，请重新登录
+登录已过期，请重新登录后查看
+请先登录后查看
+可能的原因：链接失效、内容审核中。
+加载失败，点击重试
+正在加载，请稍候
+正在加载，请稍候……若长时间无响应，请检查网络
+刷新页面
+返回首页
+返回首页 | 联系管理员
+5 秒后自动跳转到首页
+本页面需要启用 JavaScript 才能显示，请在浏览器设置中打开后刷新。
+请启用 Cookie 后继续
+请允许脚本运行以查看内容
+您的浏览器未启用脚本，部分内容无法显示。
+检测到您的浏览器未开启脚本功能，部分内容无法显示。
+浏览器版本过低，请升级后重试。
+浏览器版本过低，无法显示，请升级后重试。
+脚本被拦截，加载中止
+是否禁用了脚本
+请输入验证码后继续访问
+""".splitlines()
+
+# Trusted filler and test text.
+FILLER = """\
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+lorem ipsum lorem ipsum lorem ipsum
+xxxx xxxx xxxx xxxx xxxx xxxx
+XXXXXXXXXXXX
+asdfasdfasdfasdfasdf
+asdf asdf qwer qwer
+test test test test
+this is a test
+sample text sample text
+placeholder text
+insert text here
+your text here
+to be filled in
+TBD
+N/A
+测试测试测试测试测试测试
+测试数据，请忽略
+测试数据，请忽略 1
+测试文本测试文本测试文本
+测试题目，请勿作答
+样例文字样例文字样例文字
+样例题干样例题干样例题干
+示例文字示例文字示例文字
+示例文本，请替换
+占位内容，占位内容
+这里是占位内容，这里是占位内容，
+占位文字占位文字
+此段文字仅用于排版，此段文字仅用于排版，
+本段为示意文本，正式内容稍后更新
+请替换为正式内容后再发布
+请替换为正式题目后再发布 1
+内容内容内容内容内容内容
+选项A：选项内容
+选项B：选项内容
+答案：答案内容
+标题：标题内容
+未命名文档
+未命名文档 1
+待填写
+内容待补充
+""".splitlines()
+
+# The forms of an unfilled slot, and names that stand in one.
+SLOTS = """\
+{{N}}
+{{ N }}
+{{{N}}}
+${N}
+$!N.text
+$N.text
+#{N}
+<%= N %>
+<% N %>
+{% include 'N' %}
+{% N %}
+{N|default}
+%(N)s
+%N%
+@@N@@
+[[N]]
+[[INSERT U HERE]]
+[INSERT U HERE]
+[插入C]
+[此处填写C]
+#U#
+__U__
+XXXXCXXXX
+TODO: C
+TODO: N
+TBD: C
+FIXME: N
+<C待补>
+【请在此处填写C】
+【待填写C】
+（此处为C内容）
+（此处填写C）
+[[C]]
+{{C}}
+{{ C }}
+：{0}
+：{1}
+：{2}
+：{3}
+。{0}
+。{1}
+。{2}
+""".splitlines()
+NAMES = "title stem analysis answer_text options label_name question_id parent_stem teacher difficulty name item_title".split()
+CJK_NAMES = "标题 题干 解析 答案 选项 知识点 题号 来源 难度 教师 名称 内容".split()
+
+# Words that running English text has every few words.
+FUNCTION_WORDS = set("a after also an and are as at be but by could during each for from had has have in into is it its no not of on only or so than that the their then these this to under was were twice under when which while will with within without".split())
+
+# Trusted content that only speaks of such things.
+CONTENT = """\
+编号404的样方未找到目标植物，记为缺失。
+第500号样本的读数出现错误，已重新测量。
+该错误源于把底物浓度算错，改正后误差为5%。
+用脚本控制光照，每12小时切换一次。
+植株需要适应后才能正常生长。
+数据采集服务器每10分钟记录一次，断电期间的数值缺失。
+肿瘤的占位效应会压迫周围组织。
+以模板链为准，转录出的mRNA长300个碱基。
+未命名的新种暂以采集地称呼。
+待补充完毕后继续观察。
+向培养液中补充营养，待补充完毕后再观察。
+示例：若亲本为杂合子，则填写表中第2行。
+当蜜蜂访问花朵过于频繁时，会稍后再来。
+访问蜜源的次数过于频繁时，蜜蜂会稍后再来。
+集合{A, B, C}表示三种配子，[3]为对应的图号。
+样本标签写作 #5-B#，百分号%表示相对湿度。
+请回答：该过程的名称是______。
+请写出关键步骤______。
+(1)______；(2)______。
+The 404 seeds that could not be found were counted as lost.
+Access to water was denied for 9 days and the plants stopped growing.
+The error bars show one standard deviation.
+The server of the weather station recorded the temperature every hour.
+The page of the notebook was missing, so the values were measured again.
+The template strand is read from one end to the other.
+The script of the experiment was followed by all groups.
+An exception to this rule was found in two plants.
+Samples were tested twice in each group.
+""".splitlines()
+
+TOKEN = re.compile(r"[0-9a-f]{10,}|[A-Za-z]+(?:_[A-Za-z]+)*|\d+|[一-鿿㐀-䶿]|[!-/:-@\[-^`{-~_]{1,3}|[^\s]")
+HEX = re.compile(r"(?=.*\d)[0-9a-f]{10,}")
+SYMBOL = re.compile(r"[!-/:-@\[-^`{-~_【】（）〔〕《》「」…]")
+SIGN = re.compile(r"[{}<>$%@#\[\]【】（]|__|^todo$|^tbd$|^fixme$|^xxxx$|^w_w$|^<unit>$")
+UNIT = re.compile(r"(.{1,6}?)\1{2,}")
+
+
+def passages(text: str):
+    """The lines of a text, long ones in pieces."""
+    for line in text.splitlines():
+        s = line.strip()
+        for lo in range(0, len(s), PASSAGE):
+            yield s[lo : lo + PASSAGE]
+
+
+def _word(token: str) -> str:
+    """A token's own feature: numbers, hexadecimal ids, names with underscores and words of one repeated unit are each one word."""
+    c = token[0]
+    if c.isdigit():
+        return "<hex>" if len(token) >= 10 and HEX.fullmatch(token) else "9"
+    if c.isalpha() and c.isascii():
+        if len(token) >= 4 and UNIT.fullmatch(token):
+            return "<unit>"
+        return "<hex>" if len(token) >= 10 and HEX.fullmatch(token) else "w_w" if "_" in token else token.lower()
+    return token
+
+
+def _shape(token: str) -> str:
+    c = token[0]
+    if c.isdigit():
+        return "9"
+    if "一" <= c <= "鿿" or "㐀" <= c <= "䶿":
+        return "C"
+    if c.isalpha() and c.isascii():
+        return "U" if token.isupper() and len(token) > 2 else "w"
+    return token
+
+
+def features(passage: str) -> list[list[str]]:
+    """The features that each token brings: itself, with its neighbour, its shape among its neighbours', and signs of filler."""
+    tokens = TOKEN.findall(passage)
+    shapes = ["^", *map(_shape, tokens), "$"]
+    words = [_word(t) for t in tokens]
+    out, before, plain = [], "^", 0
+    for k, w in enumerate(words, 1):
+        own = shapes[k]
+        f = [f"{before}\x00{w}"]
+        if own != "C":
+            f.append(w)
+        if k == len(words):
+            f.append(f"{w}\x00$")
+        if SYMBOL.match(w):
+            f.append(f"{shapes[k - 1]}\x01{w}\x01{shapes[k + 1]}")
+        elif own != "C" or SYMBOL.match(shapes[k - 1]) or SYMBOL.match(shapes[k + 1]):
+            f.append(f"{shapes[k - 1]}\x02{own}\x02{shapes[k + 1]}")
+        if own in ("w", "U"):
+            plain = 0 if w in FUNCTION_WORDS else plain + 1
+            if plain >= 5:  # nothing else is asked of such a word but itself
+                f = [w, "<no function words>", "<no function words>"]
+        if k > 4 and words[k - 5 : k - 1].count(w) and (k < 9 or words[k - 9 : k - 1].count(w) > 1) and own in ("w", "U", "C"):
+            f.append("<again>")
+        out.append(f)
+        before = w
+    return out
+
+
+def trusted() -> list[str]:
+    """The positive passages: messages, filler, and each form of a slot with several names."""
+    slots = []
+    for form in SLOTS:
+        for name, cjk in zip(NAMES, CJK_NAMES):
+            slots.append(form.replace("N", name).replace("U", name.upper()).replace("C", cjk) if re.search("[NUC]", form) else form)
+    return MESSAGES + FILLER + slots
+
+
+def fit(unlabelled: list[str]) -> dict[str, float]:
+    """feature -> log-odds of residue against content, by expectation-maximization over positive and unlabelled passages."""
+    def bag(p: str) -> dict[str, int]:
+        n: dict[str, int] = defaultdict(int)
+        for f in features(p):
+            for x in f:
+                n[x] += 1
+        return n
+
+    sure = [bag(p) for p in dict.fromkeys(trusted())]
+    sound = [bag(p) for p in CONTENT]
+    open_ = [bag(p) for p in unlabelled]
+    chance = [PRIOR] * len(open_)
+    odds: dict[str, float] = {}
+    for _ in range(ROUNDS):
+        pos: dict[str, float] = defaultdict(float)
+        neg: dict[str, float] = defaultdict(float)
+        for b in sure:
+            for x in b:
+                pos[x] += TRUST
+        for b in sound:
+            for x in b:
+                neg[x] += TRUST * COUNTER
+        for b, r in zip(open_, chance):
+            for x in b:
+                pos[x] += r
+                neg[x] += 1 - r
+        np_, nn = sum(pos.values()), sum(neg.values())
+        odds = {}
+        for x in set(pos) | set(neg):
+            # Both classes are smoothed towards the feature's overall share, so a feature that is rare everywhere says little.
+            share = MASS * (pos[x] + neg[x]) / (np_ + nn)
+            odds[x] = math.log((pos[x] + share) / (np_ + MASS)) - math.log((neg[x] + share + SMOOTH) / (nn + MASS))
+        base = math.log(PRIOR / (1 - PRIOR))
+        # Features overlap, so the evidence of a passage is tempered.
+        chance = [1 / (1 + math.exp(-max(-30.0, min(30.0, base + TEMPER * sum(odds[x] for x in b))))) for b in open_]
+    return {x: v for x, v in odds.items() if abs(v) > 0.05}
+
+
+def score(passage: str, odds: dict[str, float]) -> float:
+    """The passage's sum of log-odds (a token counts with the mean of its features), or its best stretch that holds a slot's sign if larger."""
+    best = whole = 0.0
+    run, signs = 0.0, 0
+    for f in features(passage):
+        v = sum(odds.get(x, NEW) for x in f) / len(f)
+        whole += v
+        sign = SIGN.search(f[0].rpartition("\x00")[2]) is not None
+        run += v
+        if run <= 0:  # a stretch may begin right after its opening sign
+            run, signs = 0.0, int(sign)
+            continue
+        signs += sign
+        if signs and run > best:
+            best = run
+    return max(best, whole)
+
+
+def _sampled(size: int):
+    """Mapper (text) -> (h, passage): the partition's `size` distinct passages with the smallest hashes."""
+
+    def run(batches):
+        kept: dict[int, str] = {}
+        heap: list[int] = []
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for p in passages(t or ""):
+                    if not p:
+                        continue
+                    h = xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) >> 1
+                    if h in kept or len(heap) == size and h >= -heap[0]:
+                        continue
+                    kept[h] = p
+                    heapq.heappush(heap, -h)
+                    if len(heap) > size:
+                        del kept[-heapq.heappop(heap)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], ["h", "passage"])
+
+    return run
+
+
+def model(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> dict[str, float]:
+    """Fit on a bounded sample of the corpus' distinct passages (at most `size` come to the driver)."""
+    rows = docs.select(text).mapInArrow(_sampled(size), "h long, passage string").distinct().orderBy("h").limit(size).collect()
+    return fit([r.passage for r in rows])
+
+
+def _scored(odds: dict[str, float]):
+    """Mapper (id, text) -> (id, score, passage)."""
+
+    def run(batches):
+        for b in batches:
+            best = []
+            for t in b.column(1).to_pylist():
+                top, where = 0.0, None
+                for p in passages(t or ""):
+                    if (s := score(p, odds)) > top:
+                        top, where = s, p
+                best.append((top, where))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in best], pa.float64()), pa.array([x for _, x in best], pa.string())], ["id", "score", "passage"])
+
+    return run
+
+
+def residue_scores(docs: DataFrame, row_id: str, text: str = "text", size: int = SAMPLE) -> DataFrame:
+    """(id, score, passage): each document's score and the passage that gave it."""
+    kind = docs.schema[row_id].dataType.simpleString()
+    return docs.select(F.col(row_id).alias("id"), text).mapInArrow(_scored(model(docs, text, size)), f"id {kind}, score double, passage string")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue_scores(table(spark, d, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores}
+ORACLES: dict[str, str] = {}
