@@ -51,7 +51,7 @@ def html_normalize(x: C) -> Column:
         (r"(?s)<!--.*?-->", ""),
         (r"(?s)</?[A-Za-z][^>]*>", " "),
     ]
-    after = [(r"(?:\$\s*)+", " "), (r"\s*(?:\\!\s*)*%\s*(?:\\!\s*)*(?:\\text\{\s*\})?", r"\\\\%")]
+    after = [(r"(?:\$\s*)+", " "), (r"\s*(?:\\!\s*)*%\s*(?:\\!\s*)*(?:\\text\{\s*\})?", r"\\%")]
     end = [(r"(?U)\s+", " "), (r"^ | $", ""), (r"\(\)", "(   )"), (r"""\s+(?=[。，！？；："'）】])""", ""), (r"^ +| +$", "")]
     sub = lambda c, rules: reduce(lambda a, r: F.regexp_replace(a, r[0], r[1]), rules, c)
     out = sub(_unescape(sub(text(x), before)), after)

@@ -56,3 +56,19 @@ vlab as (select question_id, vote, n, unnest(list_distinct(c.selected_label_ids)
 vmaj as (select question_id, vote, label_id from vlab where label_id is not null group by question_id, vote, n, label_id having count(*) >= n // 2 + 1),
 votes as (select l.question_id, l.vote, len(l.ch) n_choices, l.seq, coalesce(list_sort(list(m.label_id) filter (m.label_id is not null)), []) labels
   from vlast l left join vmaj m on l.question_id = m.question_id and l.vote = m.vote group by all)"""
+
+
+def counting(sql: str) -> str:
+    """sql with each count_if(x) as a filtered count, which is 0 and not null where no x is true."""
+    out, rest = "", sql
+    while (at := rest.find("count_if(")) >= 0:
+        start, depth, quoted = at + len("count_if("), 1, False
+        end = start
+        while depth:
+            ch = rest[end]
+            quoted ^= ch == "'"
+            depth += (not quoted) * ((ch == "(") - (ch == ")"))
+            end += 1
+        out += rest[:at] + "(count(*) filter (where " + counting(rest[start : end - 1]) + "))"
+        rest = rest[end:]
+    return out + rest

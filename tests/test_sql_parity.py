@@ -1,0 +1,23 @@
+import importlib
+
+import pytest
+
+from tests.conftest import SF, check_against_sql
+
+from __spark_entry__ import CORE
+
+MODULES = [importlib.import_module(m) for m in CORE]
+CASES = [(n, m) for m in MODULES for n in m.QUERIES]
+
+
+@pytest.mark.parametrize("name,module", CASES, ids=[c[0] for c in CASES])
+def test_query(spark, duck, name, module):
+    if name in module.ORACLES:
+        check_against_sql(spark, duck, module.QUERIES[name], module.ORACLES[name])
+    else:
+        assert module.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_every_oracle_has_a_query():
+    for m in MODULES:
+        assert set(m.ORACLES) <= set(m.QUERIES)
