@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text as X
 from tagloom.plans import base
-from tagloom.runtime import table
+from tagloom.runtime import spread, table
 
 K1, B, TOP = 1.5, 0.75, 20
 ROUND = 6
@@ -90,7 +90,7 @@ def bm25_topk(units: DataFrame, labels: DataFrame, k: int = TOP) -> DataFrame:
     weights = np.zeros((len(vocab), len(names)))
     for r in rows:
         weights[vocab[r.token], at[r.label_id]] = r.weight
-    tokens = units.select("question_id", *[X.tokens(f).alias(f) for f, _ in UNIT_FIELDS])
+    tokens = spread(units.select("question_id", *[f for f, _ in UNIT_FIELDS])).select("question_id", *[X.tokens(f).alias(f) for f, _ in UNIT_FIELDS])
     return tokens.mapInArrow(_matrix_search(names, vocab, weights, k), "question_id string, label_id string, score double, rk long")
 
 

@@ -82,6 +82,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
 SIMPLE = {"string", "bigint", "int", "timestamp", "timestamp_ntz", "double", "boolean", "date", "binary", "float", "smallint"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions than there are cores (one small file); at scale it is df itself.
+
+    For what costs far more CPU a row than moving the row does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def assert_empty(df: DataFrame, message: str) -> None:
     """Fail-closed constraint: raise if df has a row."""
     if row := df.take(1):
