@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.canon import alnum
-from tagloom.runtime import table
+from tagloom.runtime import spread, table
 
 WINDOW, GRAM, ANCHOR_RUN = 32, 8, 19
 WALKS, SAMPLES, BITS = 2, 4, 10
@@ -52,8 +52,10 @@ def anchors(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = h * np.uint64(0x9E3779B97F4A7C15) + cp[k : len(cp) - GRAM + 1 + k]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    least = np.lib.stride_tricks.sliding_window_view(h, ANCHOR_RUN).argmin(1) + np.arange(n)
-    starts = np.unique(least)
+    run = np.arange(n)
+    whole = run + ANCHOR_RUN + GRAM - 1 <= ends[np.searchsorted(ends, run, "right")]  # runs that lie in one text, so its neighbours don't matter
+    least = np.lib.stride_tricks.sliding_window_view(h, ANCHOR_RUN).argmin(1) + run
+    starts = np.unique(least[whole])
     of = np.searchsorted(ends, starts, "right")
     inside = starts + WINDOW <= ends[np.minimum(of, len(ends) - 1)]
     return starts[inside], of[inside]
@@ -194,7 +196,7 @@ def leaks(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: st
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), alnum(text).alias("t")).where((F.length("t") >= WINDOW) & F.col("i").isNotNull())
     size = rows.agg(F.sum(F.length("t")).alias("n")).first().n or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    corpus = docs.select(F.col(doc_id).cast("bigint").alias("d"), alnum(text).alias("t")).where((F.length("t") >= WINDOW) & F.col("d").isNotNull())
+    corpus = spread(docs.select(F.col(doc_id).cast("bigint").alias("d"), text)).select("d", alnum(text).alias("t")).where((F.length("t") >= WINDOW) & F.col("d").isNotNull())
     schema = "id long, item long, stretch long, windows long, item_windows long, edits long"
     parts = []
     for k in range(blocks):

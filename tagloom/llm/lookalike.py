@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.runtime import table
+from tagloom.runtime import spread, table
 
 # Greek and Cyrillic letters and the Latin letters of the same shape.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ" "οϲϳ"
@@ -76,7 +76,7 @@ def _hashed(n: int):
 
 def hashed(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(row_id).alias("id"), *fields).where("id is not null").mapInArrow(_hashed(len(fields)), f"id {kind}, skel binary, orig binary")
+    return df.select(F.col(row_id).alias("id"), *fields).where("id is not null").transform(spread).mapInArrow(_hashed(len(fields)), f"id {kind}, skel binary, orig binary")
 
 
 def lookalike_pairs(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:

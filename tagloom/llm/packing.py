@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.runtime import table
+from tagloom.runtime import spread, table
 
 CAPACITY, SHARD = 2048, 10_000
 #: The folder of the public tokenizers' vocabulary files and the one used; both are parameters.
@@ -54,7 +54,7 @@ def _measured(path: str):
 def token_counts(df: DataFrame, row_id: str, text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """(id, n): tokens of each text."""
     kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(row_id).alias("id"), text).mapInArrow(_measured(path), f"id {kind}, n long")
+    return spread(df.select(F.col(row_id).alias("id"), text)).mapInArrow(_measured(path), f"id {kind}, n long")
 
 
 def fullest(sizes: list[tuple[int, int]], room: int) -> list[int]:

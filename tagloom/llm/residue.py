@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.runtime import table
+from tagloom.runtime import spread, table
 
 SAMPLE = 20_000  # unlabelled passages that the model is fitted on, at most
 PASSAGE = 400
@@ -437,7 +437,7 @@ def _sampled(size: int):
 
 def model(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> dict[str, float]:
     """Fit on a bounded sample of the corpus' distinct passages (at most `size` come to the driver)."""
-    rows = docs.select(text).mapInArrow(_sampled(size), "h long, passage string").distinct().orderBy("h").limit(size).collect()
+    rows = spread(docs.select(text)).mapInArrow(_sampled(size), "h long, passage string").distinct().orderBy("h").limit(size).collect()
     return fit([r.passage for r in rows])
 
 
@@ -461,7 +461,7 @@ def _scored(odds: dict[str, float]):
 def residue_scores(docs: DataFrame, row_id: str, text: str = "text", size: int = SAMPLE) -> DataFrame:
     """(id, score, passage): each document's score and the passage that gave it."""
     kind = docs.schema[row_id].dataType.simpleString()
-    return docs.select(F.col(row_id).alias("id"), text).mapInArrow(_scored(model(docs, text, size)), f"id {kind}, score double, passage string")
+    return spread(docs.select(F.col(row_id).alias("id"), text)).mapInArrow(_scored(model(docs, text, size)), f"id {kind}, score double, passage string")
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
