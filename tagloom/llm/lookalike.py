@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.runtime import spread, table
+from tagloom.runtime import spread, table, written
 
 # Greek and Cyrillic letters and the Latin letters of the same shape.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ" "οϲϳ"
@@ -35,11 +35,21 @@ VISIBLE_CONTROLS = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85"
 PROTOTYPE = str.maketrans(GREEK + CYRILLIC, GREEK_AS + CYRILLIC_AS)
 
 
-def _special() -> re.Pattern:
-    """Characters that a skeleton drops or replaces, as one class."""
-    drop = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Cf", "Cc") and c not in VISIBLE_CONTROLS or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or c in INVISIBLE]
-    blanks = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs"]
-    return re.compile("[" + "".join(map(re.escape, drop)) + "]+"), re.compile("[\t" + "".join(map(re.escape, blanks)) + "]")
+#: Planes that have format and control characters: the basic one, the first supplementary one up to its notations, and the tags.
+RANGES = (range(0x1E000), range(0xE0000, 0xE0200))
+
+
+def _special() -> tuple[re.Pattern, re.Pattern]:
+    """Characters that a skeleton drops, and blanks that it makes plain, as one class each."""
+    drop, blanks = [], []
+    for c in (chr(x) for r in RANGES for x in r):
+        kind = unicodedata.category(c)
+        if kind in ("Cf", "Cc") and c not in VISIBLE_CONTROLS or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or c in INVISIBLE:
+            drop.append(c)
+        elif kind == "Zs":
+            blanks.append(c)
+    one = lambda cs: re.compile("[" + "".join(map(re.escape, cs)) + "]")
+    return one(drop), one(["\t", *blanks])
 
 
 def skeleton_function():
@@ -81,7 +91,7 @@ def hashed(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
 
 def lookalike_pairs(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose fields all look the same while a character differs."""
-    rows = hashed(df, row_id, fields).distinct()
+    rows = written(hashed(df, row_id, fields).distinct(), "skeletons")  # ids and hashes only; the Python function runs once
     classes = rows.groupBy("skel", "orig").agg(F.count(F.lit(1)).alias("n"))
     mixed = classes.groupBy("skel").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("skel")
     forms = classes.join(mixed, "skel", "left_semi").select("skel", "orig")
