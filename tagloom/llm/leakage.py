@@ -34,6 +34,7 @@ REPEATS = WALKS * SAMPLES
 EDITS = 4
 BLOCK_CHARS = 4_000_000
 CHUNK = 1_000_000  # characters that a task looks at at once
+BLOCK = 8_192  # windows whose walks go on together, so that they stay in the cache
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,24 +63,29 @@ def anchors(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lsh_keys(cp: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """One 64-bit key per window for each repetition: BITS sampled positions of a CGK embedding."""
-    rng, out = np.random.default_rng(7), []
-    for _ in range(WALKS):
-        steps = 3 * WINDOW
-        mul = rng.integers(1, 2**32, steps, dtype=np.uint32) | np.uint32(1)
-        picked = [np.sort(rng.choice(steps, BITS, replace=False)) for _ in range(SAMPLES)]
-        keys = [np.zeros(len(starts), np.uint64) for _ in range(SAMPLES)]
-        at, end = starts.copy(), starts + WINDOW
-        for j in range(max(p[-1] for p in picked) + 1):
-            over = at >= end
-            c = np.where(over, np.uint32(0), cp[np.minimum(at, len(cp) - 1)])
-            for key, p in zip(keys, picked):
-                if j in p:
-                    key ^= c
-                    key *= np.uint64(0xC2B2AE3D27D4EB4F)
-                    key ^= key >> np.uint64(29)
-            at += ((c * mul[j]) >> np.uint32(31)).astype(np.int64)
-        out += keys
+    """One 64-bit key per window for each repetition: BITS sampled positions of a CGK embedding.
+
+    A walk moves on by a half a step, so its first 2 * WINDOW positions hold the window; those are sampled."""
+    rng, steps = np.random.default_rng(7), 2 * WINDOW
+    walks = [(rng.integers(1, 2**32, steps, dtype=np.uint32) | np.uint32(1), [set(rng.choice(steps, BITS, replace=False).tolist()) for _ in range(SAMPLES)]) for _ in range(WALKS)]
+    out = [np.zeros(len(starts), np.uint64) for _ in range(REPEATS)]
+    for lo in range(0, len(starts), BLOCK):
+        part = starts[lo : lo + BLOCK]
+        # A 0 behind each window ends the walk: its step is 0.
+        chars = np.zeros((len(part), WINDOW + 1), np.uint32)
+        chars[:, :WINDOW] = cp[part[:, None] + np.arange(WINDOW)]
+        flat, first = chars.ravel(), np.arange(len(part), dtype=np.int64) * (WINDOW + 1)
+        for w, (mul, picked) in enumerate(walks):
+            keys = [k[lo : lo + BLOCK] for k in out[w * SAMPLES : (w + 1) * SAMPLES]]
+            at = first.copy()
+            for j in range(max(max(p) for p in picked) + 1):
+                c = flat[at]
+                for key, p in zip(keys, picked):
+                    if j in p:
+                        key ^= c
+                        key *= np.uint64(0xC2B2AE3D27D4EB4F)
+                        key ^= key >> np.uint64(29)
+                at += (c * mul[j]) >> np.uint32(31)
     return out
 
 
