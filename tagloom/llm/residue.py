@@ -4,7 +4,7 @@ Passages (lines, long ones in pieces) are bags of features: tokens, pairs of nei
 filler (repetition, no function words). A naive
 Bayes model is learnt from positive and unlabelled passages by expectation-maximization: the positives are the trusted records below
 (messages and slots, written down as fixed values), the unlabelled ones a bounded sample of the corpus' own passages (SAMPLE distinct
-passages, those with the smallest hashes). Each round gives every unlabelled passage its probability of being residue and
+passages at most, chosen by hash). Each round gives every unlabelled passage its probability of being residue and
 re-estimates both classes; a few trusted sentences of content that only speaks of errors, scripts or templates are held on the content side. Then
 every passage of every document is scored by its sum of log-odds, or by its best stretch of neighbouring tokens where that holds the sign of
 a slot (so that a slot in the middle of real content counts as itself), and a document's score is its best passage's.
@@ -14,7 +14,6 @@ repeated rows of one id give one row; an empty table gives no row and needs no m
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import defaultdict
@@ -28,8 +27,9 @@ from tagloom.runtime import spread, table
 
 SAMPLE = 20_000  # unlabelled passages that the model is fitted on, at most
 PASSAGE = 400
-ROUNDS, PRIOR, SMOOTH, MASS, TRUST, COUNTER, TEMPER = 3, 0.01, 0.5, 1_000.0, 3.0, 10.0, 0.1
+ROUNDS, PRIOR, SMOOTH, MASS, TRUST, SLOT, COUNTER, TEMPER = 3, 0.01, 1.5e-7, 1_000.0, 4.0, 1.0, 10.0, 0.1
 THRESHOLD = 5.0
+MEMO = 2_000_000  # tokens in context whose value a task remembers, at most
 NEW = -1.0  # log-odds of a feature that the model hasn't seen
 
 # Trusted records. Messages of error, missing, blocked and loading pages and of failed programs, and notices.
@@ -156,6 +156,11 @@ None
 FILLER = """\
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
 Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam eaque ipsa quae ab illo inventore veritatis.
+Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt.
+Neque porro quisquam est qui dolorem ipsum quia dolor sit amet consectetur adipisci velit.
 lorem ipsum lorem ipsum lorem ipsum
 xxxx xxxx xxxx xxxx xxxx xxxx
 XXXXXXXXXXXX
@@ -193,6 +198,15 @@ N/A
 标题：标题内容
 未命名文档
 未命名文档 1
+新建题目
+新建文档
+（共 0 题）
+共 0 条
+啊啊啊啊啊啊啊啊啊啊啊啊
+Sample question text goes here
+placeholder text, replace before release
+asdf
+qwer qwer qwer qwer
 待填写
 内容待补充
 """.splitlines()
@@ -242,11 +256,13 @@ FIXME: N
 。{1}
 。{2}
 """.splitlines()
+#: What a slot stands in; the words are of no meaning, so that only their kind is learnt.
+AROUND = ["@", "：@", "龘。@龘龘", "龘龘@龘龘。", "龘龘@", "qzx @Qzx", "9@龘"]
 NAMES = "title stem analysis answer_text options label_name question_id parent_stem teacher difficulty name item_title".split()
 CJK_NAMES = "标题 题干 解析 答案 选项 知识点 题号 来源 难度 教师 名称 内容".split()
 
 # Words that running English text has every few words.
-FUNCTION_WORDS = set("a after also an and are as at be but by could during each for from had has have in into is it its no not of on only or so than that the their then these this to under was were twice under when which while will with within without".split())
+FUNCTION_WORDS = set("a after also an and are as at be because but by could during each for from had has have in into is it its may means no not of on only or so than that the their then these this to under was were twice under when which while will with within without".split())
 
 # Trusted content that only speaks of such things.
 CONTENT = """\
@@ -278,6 +294,28 @@ The template strand is read from one end to the other.
 The script of the experiment was followed by all groups.
 An exception to this rule was found in two plants.
 Samples were tested twice in each group.
+【题干】下列叙述正确的是（   ）
+题目：下列分析错误的是（   ）
+【选项】A. 第一项
+A. 第一项
+【答案】A
+【答案】ABD
+【答案】B；D
+【答案】(1)：空1：甲；空2：乙 / 丙；(2)：空1：丁
+【答案】12/5
+答案：A
+答案：BCD
+答案：A；B
+答案：CO_{2}
+答案：parts：blanks：空1：甲；空2：3.5；note：通常
+参考答案 ACD
+参考答案 空1：甲；空2：乙
+【解析】略
+解析：略
+详解 略
+【解析】【分析】甲与乙的比例为3:1。
+计算式为\\frac{2}{x_{1}+1}，其中x_{1}取3.5。
+F_{2}中性状的分离比为3:1，NO_{3}^{-}的含量升高。
 """.splitlines()
 
 TOKEN = re.compile(r"[0-9a-f]{10,}|[A-Za-z]+(?:_[A-Za-z]+)*|\d+|[一-鿿㐀-䶿]|[!-/:-@\[-^`{-~_]{1,3}|[^\s]")
@@ -318,41 +356,57 @@ def _shape(token: str) -> str:
     return token
 
 
-def features(passage: str) -> list[list[str]]:
-    """The features that each token brings: itself, with its neighbour, its shape among its neighbours', and signs of filler."""
+def contexts(passage: str) -> list[tuple]:
+    """What each token's features depend on: (word before, word, shape before, shape, shape behind, last, filler, again)."""
     tokens = TOKEN.findall(passage)
     shapes = ["^", *map(_shape, tokens), "$"]
     words = [_word(t) for t in tokens]
-    out, before, plain = [], "^", 0
+    out, before, plain, n = [], "^", 0, len(words)
     for k, w in enumerate(words, 1):
-        own = shapes[k]
+        own, again = shapes[k], False
+        if own == "w" or own == "U":
+            plain = 0 if w in FUNCTION_WORDS else plain + 1
+        elif own == "9" or w[0] in ".;!?" or not w.isascii():
+            plain = 0
+        if k > 4 and w in words[k - 5 : k - 1] and own in ("w", "U", "C"):
+            again = k < 9 or words[k - 9 : k - 1].count(w) > 1
+        out.append((before, w, shapes[k - 1], own, shapes[k + 1], k == n, plain >= 7 and own in ("w", "U"), again))
+        before = w
+    return out
+
+
+def expand(context: tuple) -> list[str]:
+    """A token's features: itself, with its neighbour, its shape among its neighbours', and signs of filler."""
+    before, w, left, own, right, last, filler, again = context
+    if filler:  # nothing else is asked of such a word but itself
+        f = [w, "<no function words>", "<no function words>"]
+    else:
         f = [f"{before}\x00{w}"]
         if own != "C":
             f.append(w)
-        if k == len(words):
+        if last:
             f.append(f"{w}\x00$")
         if SYMBOL.match(w):
-            f.append(f"{shapes[k - 1]}\x01{w}\x01{shapes[k + 1]}")
-        elif own != "C" or SYMBOL.match(shapes[k - 1]) or SYMBOL.match(shapes[k + 1]):
-            f.append(f"{shapes[k - 1]}\x02{own}\x02{shapes[k + 1]}")
-        if own in ("w", "U"):
-            plain = 0 if w in FUNCTION_WORDS else plain + 1
-            if plain >= 5:  # nothing else is asked of such a word but itself
-                f = [w, "<no function words>", "<no function words>"]
-        if k > 4 and words[k - 5 : k - 1].count(w) and (k < 9 or words[k - 9 : k - 1].count(w) > 1) and own in ("w", "U", "C"):
-            f.append("<again>")
-        out.append(f)
-        before = w
-    return out
+            f.append(f"{left}\x01{w}\x01{right}")
+        elif own != "C" or SYMBOL.match(left) or SYMBOL.match(right):
+            f.append(f"{left}\x02{own}\x02{right}")
+    if again:
+        f.append("<again>")
+    return f
+
+
+def features(passage: str) -> list[list[str]]:
+    return [expand(c) for c in contexts(passage)]
 
 
-def trusted() -> list[str]:
-    """The positive passages: messages, filler, and each form of a slot with several names."""
+def trusted() -> list[tuple[str, float]]:
+    """The positive passages with their weights: messages, filler, and each form of a slot with several names and surroundings."""
     slots = []
     for form in SLOTS:
         for name, cjk in zip(NAMES, CJK_NAMES):
-            slots.append(form.replace("N", name).replace("U", name.upper()).replace("C", cjk) if re.search("[NUC]", form) else form)
-    return MESSAGES + FILLER + slots
+            slot = form.replace("N", name).replace("U", name.upper()).replace("C", cjk) if re.search("[NUC]", form) else form
+            slots += [c.replace("@", slot, 1) for c in AROUND]
+    return [(p, TRUST) for p in dict.fromkeys(MESSAGES + FILLER)] + [(p, SLOT) for p in dict.fromkeys(slots)]
 
 
 def fit(unlabelled: list[str]) -> dict[str, float]:
@@ -364,7 +418,7 @@ def fit(unlabelled: list[str]) -> dict[str, float]:
                 n[x] += 1
         return n
 
-    sure = [bag(p) for p in dict.fromkeys(trusted())]
+    sure = [(bag(p), w) for p, w in trusted()]
     sound = [bag(p) for p in CONTENT]
     open_ = [bag(p) for p in unlabelled]
     chance = [PRIOR] * len(open_)
@@ -372,9 +426,9 @@ def fit(unlabelled: list[str]) -> dict[str, float]:
     for _ in range(ROUNDS):
         pos: dict[str, float] = defaultdict(float)
         neg: dict[str, float] = defaultdict(float)
-        for b in sure:
+        for b, w in sure:
             for x in b:
-                pos[x] += TRUST
+                pos[x] += w
         for b in sound:
             for x in b:
                 neg[x] += TRUST * COUNTER
@@ -387,70 +441,80 @@ def fit(unlabelled: list[str]) -> dict[str, float]:
         for x in set(pos) | set(neg):
             # Both classes are smoothed towards the feature's overall share, so a feature that is rare everywhere says little.
             share = MASS * (pos[x] + neg[x]) / (np_ + nn)
-            odds[x] = math.log((pos[x] + share) / (np_ + MASS)) - math.log((neg[x] + share + SMOOTH) / (nn + MASS))
+            odds[x] = math.log((pos[x] + share) / (np_ + MASS)) - math.log((neg[x] + share + SMOOTH * nn) / (nn + MASS))
         base = math.log(PRIOR / (1 - PRIOR))
         # Features overlap, so the evidence of a passage is tempered.
         chance = [1 / (1 + math.exp(-max(-30.0, min(30.0, base + TEMPER * sum(odds[x] for x in b))))) for b in open_]
     return {x: v for x, v in odds.items() if abs(v) > 0.05}
 
 
-def score(passage: str, odds: dict[str, float]) -> float:
-    """The passage's sum of log-odds (a token counts with the mean of its features), or its best stretch that holds a slot's sign if larger."""
-    best = whole = 0.0
-    run, signs = 0.0, 0
-    for f in features(passage):
-        v = sum(odds.get(x, NEW) for x in f) / len(f)
-        whole += v
-        sign = SIGN.search(f[0].rpartition("\x00")[2]) is not None
-        run += v
-        if run <= 0:  # a stretch may begin right after its opening sign
-            run, signs = 0.0, int(sign)
-            continue
-        signs += sign
-        if signs and run > best:
-            best = run
-    return max(best, whole)
+def scorer(odds: dict[str, float]):
+    """passage -> the sum of its log-odds (a token counts with the mean of its features), or its best stretch that holds a slot's sign if larger."""
+    known: dict[tuple, tuple[float, bool]] = {}
+
+    def value(c: tuple) -> tuple[float, bool]:
+        f = expand(c)
+        if len(known) > MEMO:
+            known.clear()
+        known[c] = v = (sum(odds.get(x, NEW) for x in f) / len(f), SIGN.search(c[1]) is not None)
+        return v
+
+    def score(passage: str) -> float:
+        best = whole = run = 0.0
+        signs = 0
+        for c in contexts(passage):
+            v, sign = known.get(c) or value(c)
+            whole += v
+            run += v
+            if run <= 0:  # a stretch may begin right after its opening sign
+                run, signs = 0.0, int(sign)
+                continue
+            signs += sign
+            if signs and run > best:
+                best = run
+        return max(best, whole)
+
+    return score
 
 
-def _sampled(size: int):
-    """Mapper (text) -> (h, passage): the partition's `size` distinct passages with the smallest hashes."""
+def _sampled(share: float):
+    """Mapper (text) -> (h, passage): the partition's distinct passages whose hash lies in the first `share` of its range."""
+    edge = int(share * 2**63)
 
     def run(batches):
-        kept: dict[int, str] = {}
-        heap: list[int] = []
+        seen: set[int] = set()
         for b in batches:
+            kept: dict[int, str] = {}
             for t in b.column(0).to_pylist():
                 for p in passages(t or ""):
-                    if not p:
-                        continue
-                    h = xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) >> 1
-                    if h in kept or len(heap) == size and h >= -heap[0]:
-                        continue
-                    kept[h] = p
-                    heapq.heappush(heap, -h)
-                    if len(heap) > size:
-                        del kept[-heapq.heappop(heap)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], ["h", "passage"])
+                    if p and (h := xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) >> 1) < edge and h not in seen:
+                        seen.add(h)
+                        kept[h] = p
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], ["h", "passage"])
 
     return run
 
 
 def model(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> dict[str, float]:
-    """Fit on a bounded sample of the corpus' distinct passages (at most `size` come to the driver)."""
-    rows = spread(docs.select(text)).mapInArrow(_sampled(size), "h long, passage string").distinct().orderBy("h").limit(size).collect()
-    return fit([r.passage for r in rows])
+    """Fit on the `size` distinct passages of the corpus with the smallest hashes, or those of them in the share of hashes that holds about
+    1.5 * size passages. The share comes from a count of all passages, so what is sent is bounded whatever the corpus' size."""
+    n = docs.agg(F.sum(F.size(F.split(text, "\n")) + F.floor(F.length(text) / PASSAGE)).alias("n")).first().n or 0
+    rows = spread(docs.select(text)).mapInArrow(_sampled(min(1.0, 1.5 * size / max(1, n))), "h long, passage string").distinct().collect()
+    return fit([r.passage for r in sorted(rows)[:size]])
 
 
 def _scored(odds: dict[str, float]):
     """Mapper (id, text) -> (id, score, passage)."""
 
     def run(batches):
+        score = scorer(odds)
         for b in batches:
             best = []
             for t in b.column(1).to_pylist():
                 top, where = 0.0, None
                 for p in passages(t or ""):
-                    if (s := score(p, odds)) > top:
+                    if (s := score(p)) > top:
                         top, where = s, p
                 best.append((top, where))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in best], pa.float64()), pa.array([x for _, x in best], pa.string())], ["id", "score", "passage"])
