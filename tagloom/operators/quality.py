@@ -74,7 +74,7 @@ def ablation(arms: DataFrame, a: str, b: str) -> DataFrame:
     one = lambda n, c: arms.where(F.col("arm") == n).select("question_id", "label_id", F.col("score").alias(c))
     j = one(a, "x").join(one(b, "y"), ["question_id", "label_id"])
     mx, my = F.col("x") >= base.MATCH, F.col("y") >= base.MATCH
-    return j.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(mx & ~my).alias("lost"), F.count_if(~mx & my).alias("won"), F.count_if((mx != my) | (F.abs(F.col("x") - F.col("y")) >= CHANGED)).alias("changed"), F.round(F.avg(F.col("y") - F.col("x")), 6).alias("mean_delta"))
+    return j.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(mx & ~my).alias("lost"), F.count_if(~mx & my).alias("won"), F.count_if((mx != my) | (F.abs(F.col("x") - F.col("y")) >= CHANGED)).alias("changed"), F.sum((F.round(F.col("y") * 10_000) - F.round(F.col("x") * 10_000)).cast("bigint")).alias("delta_points"))
 
 
 def repeated_ablation(arms: DataFrame, before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
@@ -265,7 +265,7 @@ ORACLES = {
     "target_confusion": f"{_NEG} {_CONF('target_id')}",
     "boundary_screen": f"{_SCREEN} select * from screen",
     "boundary_screen_summary": f"{_SCREEN} select screen, count(*) labels from screen group by 1",
-    "ablation_flips": f"{_ARMS} select x.label_id, count(*) n, count_if(x.score >= 0.7 and y.score < 0.7)::bigint lost, count_if(x.score < 0.7 and y.score >= 0.7)::bigint won, count_if((x.score >= 0.7) <> (y.score >= 0.7) or abs(x.score - y.score) >= {CHANGED})::bigint changed, round(avg(y.score - x.score), 6) mean_delta from arms x join arms y on x.question_id = y.question_id and x.label_id = y.label_id where x.arm = 'bm25-v1' and y.arm = 'bm25-v2' group by 1",
+    "ablation_flips": f"{_ARMS} select x.label_id, count(*) n, count_if(x.score >= 0.7 and y.score < 0.7)::bigint lost, count_if(x.score < 0.7 and y.score >= 0.7)::bigint won, count_if((x.score >= 0.7) <> (y.score >= 0.7) or abs(x.score - y.score) >= {CHANGED})::bigint changed, sum(round(y.score * 10000)::bigint - round(x.score * 10000)::bigint)::bigint delta_points from arms x join arms y on x.question_id = y.question_id and x.label_id = y.label_id where x.arm = 'bm25-v1' and y.arm = 'bm25-v2' group by 1",
     "ablation_robust": f"{_ARMS}, w as (select question_id, label_id, max(score) filter (arm = 'bm25-v1') >= 0.7 a, max(score) filter (arm = 'dense-v1') >= 0.7 b, max(score) filter (arm = 'bm25-v2') >= 0.7 c, max(score) filter (arm = 'dense-v3') >= 0.7 e from arms group by all) select case when a <> b or c <> e then 'unstable' when a = c then 'same' when a then 'lost' else 'won' end kind, count(*) n, count(distinct label_id) labels from w where a is not null and b is not null and c is not null and e is not null group by 1",
     "irrelevant_share": f"{_P} select label_id, count(*) n, count_if(score < 0.3)::bigint irrelevant, round(count_if(score < 0.3) / count(*), 6) share from pairs group by 1 having count_if(score < 0.3) > 0",
     "latency_percentiles": f"select vote, count(latency_seconds) n, round(avg(latency_seconds), 6) mean, quantile_disc(latency_seconds, 0.5) p50, quantile_disc(latency_seconds, 0.9) p90, quantile_disc(latency_seconds, 0.95) p95, quantile_disc(latency_seconds, 0.99) p99, max(latency_seconds) most from {_LATN} group by 1",
