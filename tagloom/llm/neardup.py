@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.canon import alnum
-from tagloom.runtime import table
+from tagloom.runtime import HOT_KEYS, salted_join, table
 
 GRAM, ROWS, COORDS, MATCH = 4, 5, 36, 2
 
@@ -124,10 +124,12 @@ def prepared(df: DataFrame, row_id: str, text: Column, least_chars: int) -> Data
 def id_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: the pairs of ids of class pairs, and of each class with several ids."""
     members = docs.select("id", "c", "h").distinct()
-    several = members.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "h")
-    within = members.join(several, ["c", "h"], "left_semi")
-    same = within.select(F.col("id").alias("x"), "c", "h").join(within.select(F.col("id").alias("y"), "c", "h"), ["c", "h"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    left = classes.join(members.select(F.col("id").alias("x"), F.col("c").alias("ca"), F.col("h").alias("ha")), ["ca", "ha"])
+    sizes = members.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = sizes.orderBy(F.desc("n")).limit(HOT_KEYS)
+    within = members.join(sizes.select("c", "h"), ["c", "h"], "left_semi")
+    same = salted_join(within.select(F.col("id").alias("x"), "c", "h"), within.select(F.col("id").alias("y"), "c", "h"), ["c", "h"], hot=hot).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    first = members.select(F.col("id").alias("x"), F.col("c").alias("ca"), F.col("h").alias("ha"))
+    left = salted_join(first, classes, ["ca", "ha"], hot=hot.select(F.col("c").alias("ca"), F.col("h").alias("ha")))
     across = left.join(members.select(F.col("id").alias("y"), F.col("c").alias("cb"), F.col("h").alias("hb")), ["cb", "hb"]).where("x <> y").select("x", "y", "similarity")
     return same.unionByName(across).groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
