@@ -270,6 +270,24 @@ def content_status(stem: C, *others: C) -> Column:
     return F.when(F.trim(text(stem)) != "", "stem").when(rest != "", "other_text").otherwise("none")
 
 
+def alignment_class(score: C, taxonomy_issue: C, needs_definition: C) -> Column:
+    """L3 for a low score (up to 3) or a problem of the taxonomy, L2 where a name needs its definition, else L1."""
+    return F.when((_c(score) <= 3) | _c(taxonomy_issue), "L3").when(_c(needs_definition), "L2").otherwise("L1")
+
+
+def prefixes(limits: dict[str, int]) -> list[Column]:
+    """Fields cut to their first characters."""
+    return [F.left(text(c), F.lit(n)).alias(c) for c, n in limits.items()]
+
+
+def without_prefix(df, prefix: str, nested: dict[str, list[str]] | None = None):
+    """df without its columns of a prefix, and without the named fields of struct columns."""
+    out = df.drop(*[c for c in df.columns if c.startswith(prefix)])
+    for column, fields in (nested or {}).items():
+        out = out.withColumn(column, F.col(column).dropFields(*fields))
+    return out
+
+
 def parse_condition(spec: str) -> dict:
     """`name:temperature:choices:workers[:seed]` as a dict."""
     parts = spec.split(":")

@@ -123,7 +123,15 @@ def p5_children(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_children": p5_children}
+_TREE = r"""with raw as (select question_id, regexp_replace(answer, '^\s+|\s+$', '', 'g') a from label_units where regexp_replace(coalesce(answer, ''), '^\s+|\s+$', '', 'g') <> ''),
+txt as (select question_id, case when a like '"%' and json_valid(a) then a::json ->> '$' else a end a from raw),
+leaf as (select question_id, '$' leaf_path from txt where left(a, 1) not in ('{', '[') and trim(a) <> ''
+  union all select question_id, '$' || regexp_replace(fullkey[2:], '\."([^"]*)"|\.([^.\[\]"]+)|\[(\d+)\]', '/\1\2\3', 'g') from (select question_id, a from txt where left(a, 1) in ('{', '[') and json_valid(a)) x, json_tree(x.a) j
+  where j."type" not in ('OBJECT', 'ARRAY', 'NULL') and not (j."type" = 'VARCHAR' and regexp_matches(j.atom ->> '$', '^\s*$')) and not regexp_matches(fullkey, '\.(blankId|index|no|score)([.\[]|$)')),
+links as (select distinct child question_id, parent_question_id from (select question_id parent_question_id, unnest(child_question_ids) child from parent_plan) where child is not null)
+select distinct coalesce(parent_question_id, l.question_id) parent_question_id, l.question_id, leaf_path from leaf l left join links k on k.question_id = l.question_id"""
 ORACLES = {
+    "p5_found": _TREE,
     "p5_children": """with l as (select question_id parent_question_id, unnest(child_question_ids) child_id, generate_subscripts(child_question_ids, 1) - 1 child_no from parent_plan),
 g as (select parent_question_id, child_id, min(child_no)::bigint child_no from l where child_id is not null and parent_question_id is not null group by all)
 select parent_question_id, child_id, child_no, exists (select 1 from label_units u where u.question_id = child_id) present from g""",

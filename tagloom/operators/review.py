@@ -242,6 +242,7 @@ ORACLES = {
     "unstable_sample": f"{V._PAIR}, f as (select question_id, count(distinct labels) forms from v6 group by 1 having count(distinct labels) > 1) select * from f order by sha256('unstable' || chr(0) || question_id), question_id limit 200",
     "paired_snapshot": f"with {base.VOTES} select x.question_id, array_to_string(x.labels, '|') qwen_labels, array_to_string(y.labels, '|') ds_labels from votes x join votes y on x.question_id = y.question_id and x.vote = 'qwen1' and y.vote = 'ds1'",
     "next_stage": f"with {base.VOTES}, w as (select question_id, max(labels) filter (vote = 'qwen1') a, max(labels) filter (vote = 'qwen2') b, max(labels) filter (vote = 'ds1') c, max(labels) filter (vote = 'ds2') e from votes group by 1) select question_id, case when a <> b and c <> e then 'both_models' when a <> b then 'qwen3' when c <> e then 'ds3' when a <> c then 'arbitrate' else 'done' end stage from w where a is not null and b is not null and c is not null and e is not null",
+    "teacher_package": f"{P._S}, bad as (select label_id from p group by 1 having round(count_if(score >= {base.MATCH}) / count(*), 6) < 0.65), pp as (select * from p where label_id in (select label_id from bad)), r as (select *, row_number() over (partition by label_id order by score, pair_id) - 1 i, count(*) over (partition by label_id) n from pp), tn as (select *, row_number() over (partition by label_id, band order by {P._H('pair_id')}, pair_id) turn from pp), u as (select *, row_number() over (partition by label_id order by turn, band, pair_id) pick from tn) select label_id, pair_id, 'quantile' via from r where n <= 5 or i in (select round_even(k * (n - 1) / 4.0, 0) from (select unnest(range(5)) k)) union all select label_id, pair_id, 'turns' from u where pick <= 6",
     "set_algebra": f"{V._RS}, j as (select ns.question_id, coalesce(o, []) o, n from ns left join os on os.question_id = ns.question_id) select question_id, array_to_string(list_sort(list_intersect(o, n)), '|') common, array_to_string(list_sort(list_filter(o, lambda x: not list_contains(n, x))), '|') old_only, array_to_string(list_sort(list_filter(n, lambda x: not list_contains(o, x))), '|') new_only, len(list_filter(n, lambda x: not list_contains(o, x))) = 0 is_within from j",
     "pattern_package": f"{V._CUBE}, p as (select *, question_id || '::' || label_id pair_id from cube6), r as (select *, row_number() over (partition by q, d order by sha256('pattern' || chr(0) || pair_id), pair_id) pick from p qualify pick <= 10) select q, d, pair_id, pick, left(coalesce(stem, ''), 80) head from r left join label_units u on u.question_id = r.question_id",
 }

@@ -64,6 +64,12 @@ class ChatScorer:
         return [self.one(t) for t in tasks]
 
 
+def preflight(models: Callable[[str], list[str]], endpoints: list[str], model: str) -> None:
+    """Every endpoint must serve the model before a run begins."""
+    if missing := [e for e in endpoints if model not in models(e)]:
+        raise ValueError(f"{model} is not served by {missing}")
+
+
 def json_object(reply: str) -> dict:
     """The JSON object of a reply, also inside a fenced block or between words."""
     body = m.group(1) if (m := re.search(r"```(?:json)?\s*(.*?)```", reply, re.S)) else reply

@@ -75,3 +75,9 @@ def test_manifest_and_verify(spark):
     p = spark.createDataFrame([("q", "1"), ("q", "2"), ("r", "3")], "question_id string, label_id string")
     k = spark.createDataFrame([("q", "1", True), ("r", "3", False)], "question_id string, label_id string, match boolean")
     assert sorted(map(tuple, S.verify(p, k).collect())) == [("q", "1", True, False), ("q", "2", False, False), ("r", "3", False, True)]
+
+
+def test_preflight():
+    S.preflight(lambda e: ["m", "n"], ["a"], "m")
+    with pytest.raises(ValueError):
+        S.preflight(lambda e: ["m"] if e == "a" else [], ["a", "b"], "m")

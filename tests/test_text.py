@@ -72,3 +72,11 @@ def test_conditions():
     for bad in ("x", "a:1:0:2", "a:b:1:1"):
         with pytest.raises(ValueError):
             X.parse_condition(bad)
+
+
+def test_alignment_and_columns(spark):
+    df = spark.createDataFrame([(3, False, False), (5, True, False), (5, False, True), (5, False, False)], "s int, issue boolean, need boolean")
+    assert [r[0] for r in df.select(X.alignment_class("s", "issue", "need")).collect()] == ["L3", "L3", "L2", "L1"]
+    row = spark.sql("select 'abcdef' a, 1 legacy_x, named_struct('p', 1, 'q', 2) flags")
+    assert tuple(row.select(*X.prefixes({"a": 3})).first()) == ("abc",)
+    assert X.without_prefix(row, "legacy_", {"flags": ["q"]}).schema.simpleString() == "struct<a:string,flags:struct<p:int>>"
