@@ -229,4 +229,5 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_items": p9_items}
-ORACLES: dict[str, str] = {}
+_WINDOWS = lambda source, key: rf"select distinct {key}, unnest([substr(x, i, {STRETCH}) for i in range(1, length(x) - {STRETCH - 2})]) w from (select {key}, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', '', 'g') x from {source})"
+ORACLES = {"p9_found": f"select distinct doc_id, item_id from ({_WINDOWS('documents', 'doc_id')}) d join ({_WINDOWS('eval_items', 'item_id')}) i on d.w = i.w"}

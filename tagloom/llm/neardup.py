@@ -149,4 +149,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p4_found": rf"""with t as (select question_id, regexp_replace(lower(coalesce(stem, '') || coalesce(analysis, '')), '[^\p{{L}}\p{{N}}]+', '', 'g') x from label_units where length(x) >= {LEAST}),
+g as (select distinct question_id, unnest([substr(x, i, {GRAM}) for i in range(1, length(x) - {GRAM - 2})]) g from t), n as (select question_id, count(*) n from g group by 1),
+p as (select a.question_id id_a, b.question_id id_b, count(*) k from g a join g b on a.g = b.g and a.question_id < b.question_id group by 1, 2)
+select id_a, id_b from p join n a on a.question_id = id_a join n b on b.question_id = id_b where k >= {SIMILAR} * (a.n + b.n - k)"""
+}
