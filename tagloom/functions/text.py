@@ -26,9 +26,22 @@ def text(x: C) -> Column:
 
 # --- HTML ---------------------------------------------------------------------
 
-#: Full-width marks that stay, and characters with a plain form.
+# Patterns of question HTML and what takes their place, in the order in which they apply: before entities are decoded, after it, and at the end.
+MARKUP = [
+    (r"(?i)(?:\$\s*)*<img[^>]*>(?:\s*<br\s*/?>)*", " "),
+    (r"(?i)</(su[pb])>\s*<\1>", ""),
+    (r"(?is)<sup>\s*(.*?)\s*</sup>", r"^{$1}"),
+    (r"(?is)<sub>\s*(.*?)\s*</sub>", r"_{$1}"),
+    (r"\$\(\\qquad\)\$", "(   )"),
+    (r"""(?is)<span\s+class=["'][^"']*underline[^"']*fillblank[^"']*["'][^>]*>.*?</span>""", "______"),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?s)</?[A-Za-z][^>]*>", " "),
+]
+MATH = [(r"(?:\$\s*)+", " "), (r"\s*(?:\\!\s*)*%\s*(?:\\!\s*)*(?:\\text\{\s*\})?", r"\\%")]
+SPACES = [(r"(?U)\s+", " "), (r"^ | $", ""), (r"\(\)", "(   )"), (r"""\s+(?=[。，！？；："'）】])""", ""), (r"^ +| +$", "")]
+# Full-width marks that stay, and characters with a plain form.
 KEEP_WIDE = "，。；：？！"
-PLAIN = {"﹣": "-", "−": "-", "～": "~", "≥": ">=", "≤": "<=", "≠": "!=", "　": " ", " ": " "}
+PLAIN = {"﹣": "-", "−": "-", "～": "~", "≥": ">=", "≤": "<=", "≠": "!=", "\u3000": " ", "\u00a0": " "}
 
 
 @F.pandas_udf(T.StringType())
@@ -41,24 +54,12 @@ def html_normalize(x: C) -> Column:
     % escaped, full-width ASCII narrowed except marks of Chinese text, white space collapsed. Null gives an empty text."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     narrow = [(w, chr(ord(w) - 0xFEE0)) for w in wide if w not in KEEP_WIDE]
-    before = [
-        (r"(?i)(?:\$\s*)*<img[^>]*>(?:\s*<br\s*/?>)*", " "),
-        (r"(?i)</(su[pb])>\s*<\1>", ""),
-        (r"(?is)<sup>\s*(.*?)\s*</sup>", r"^{$1}"),
-        (r"(?is)<sub>\s*(.*?)\s*</sub>", r"_{$1}"),
-        (r"\$\(\\qquad\)\$", "(   )"),
-        (r"""(?is)<span\s+class=["'][^"']*underline[^"']*fillblank[^"']*["'][^>]*>.*?</span>""", "______"),
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?s)</?[A-Za-z][^>]*>", " "),
-    ]
-    after = [(r"(?:\$\s*)+", " "), (r"\s*(?:\\!\s*)*%\s*(?:\\!\s*)*(?:\\text\{\s*\})?", r"\\%")]
-    end = [(r"(?U)\s+", " "), (r"^ | $", ""), (r"\(\)", "(   )"), (r"""\s+(?=[。，！？；："'）】])""", ""), (r"^ +| +$", "")]
     sub = lambda c, rules: reduce(lambda a, r: F.regexp_replace(a, r[0], r[1]), rules, c)
-    out = sub(_unescape(sub(text(x), before)), after)
+    out = sub(_unescape(sub(text(x), MARKUP)), MATH)
     out = F.translate(out, "".join(w for w, _ in narrow), "".join(n for _, n in narrow))
     for old, new in PLAIN.items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    return sub(out, end)
+    return sub(out, SPACES)
 
 
 def options_text(options: C) -> Column:
@@ -114,6 +115,7 @@ def answer_text(raw: pa.Array) -> pa.Array:
 
 # --- tokens ---------------------------------------------------------------------
 
+# What a token and a run of Chinese characters is, and the longest run that is a token itself.
 ASCII_TOKEN, CJK_RUN, WHOLE_RUN = r"[a-z0-9]+(?:[-_.][a-z0-9]+)*", r"[㐀-䶿一-鿿]+", 12
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text as X
 from tagloom.operators.nested import parsed
-from tagloom.runtime import table
+from tagloom.runtime import HOT_KEYS, salted_join, table
 
 INFO = "struct<stem:string,analysis:string,answer:string,options:array<struct<title:string,htmlCode:string>>>"
 
@@ -50,14 +50,26 @@ def group_parents(raw: DataFrame) -> DataFrame:
     return j.select("question_id", F.col("child").isNull().alias("placeholder"), F.coalesce("children", F.lit("")).alias("children"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
-def dedupe_groups(units: DataFrame, label_array: str = "legacy_knw_ids") -> DataFrame:
-    """(content_hash, primary_id, members, n_members, label_sets, conflict): units of equal content; the first id is the primary."""
+def hashed_units(units: DataFrame, label_array: str = "legacy_knw_ids") -> DataFrame:
+    """(question_id, content_hash, sig): the hash of a unit's content, and its labels as one text."""
     h = X.content_hash(*[F.regexp_replace(F.trim(X.text(f)), r"\s+", " ") for f in ("parent_stem", "stem", "options", "answer_text", "analysis")])
     sig = F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col(label_array), F.array().cast("array<string>")))), ",")
-    g = units.select("question_id", h.alias("content_hash"), sig.alias("sig")).groupBy("content_hash").agg(F.min("question_id").alias("primary_id"), F.array_join(F.array_sort(F.collect_list("question_id")), "|").alias("members"), F.count(F.lit(1)).alias("n_members"), F.count_distinct("sig").alias("label_sets"))
+    return units.select("question_id", h.alias("content_hash"), sig.alias("sig"))
+
+
+def dedupe_groups(units: DataFrame) -> DataFrame:
+    """(content_hash, primary_id, n_members, label_sets, conflict): units of equal content; the first id is the primary."""
+    g = hashed_units(units).groupBy("content_hash").agg(F.min("question_id").alias("primary_id"), F.count(F.lit(1)).alias("n_members"), F.count_distinct("sig").alias("label_sets"))
     return g.where("n_members > 1").withColumn("conflict", F.col("label_sets") > 1)
 
 
+def dedupe_members(units: DataFrame) -> DataFrame:
+    """(question_id, primary_id, conflict): the members of all groups, a row each, however many a group has."""
+    groups = dedupe_groups(units)
+    hot = groups.orderBy(F.desc("n_members")).limit(HOT_KEYS)
+    return salted_join(hashed_units(units).select("question_id", "content_hash"), groups, ["content_hash"], hot=hot).select("question_id", "primary_id", "conflict")
+
+
 def route(unit_type: str, matched: str, unmatched: str) -> Column:
     """R0, R1 or R2 for a unit by its numbers of matched and unmatched labels."""
     return (
@@ -132,7 +144,7 @@ def q_route(s, d):
 
 def q_dup_flags(s, d):
     """Write-back: each unit with its duplicate's primary and the route it takes (a copy follows its primary)."""
-    m = dedupe_groups(_u(s, d)).select("primary_id", "conflict", F.explode(F.split("members", r"\|")).alias("question_id"))
+    m = dedupe_members(_u(s, d))
     j = _routed(s, d).join(m, "question_id", "left")
     dup = F.when(F.col("primary_id") != F.col("question_id"), F.col("primary_id"))
     return j.select("question_id", dup.alias("duplicate_of"), F.coalesce("conflict", F.lit(False)).alias("conflict"), F.when(dup.isNotNull(), "copy").when(F.col("conflict"), "R2").otherwise(F.col("route")).alias("route"))
@@ -230,7 +242,7 @@ def q_hash(s, d):
 _FIRST = "f as (select question_id, arg_min(parent_id, ingested_at) parent_id, count(*) copies from (select question_id, trim(parent_id, ' ' || chr(9)) parent_id, ingested_at from raw_question) group by 1)"
 _SQ = "regexp_replace(trim(coalesce({}, '')), '\\s+', ' ', 'g')"
 _DG = f"""h as (select question_id, sha256(to_json([{', '.join(_SQ.format(x) for x in ('parent_stem', 'stem', 'options', 'answer_text', 'analysis'))}])::varchar) h, array_to_string(list_sort(list_distinct(coalesce(legacy_knw_ids, []))), ',') || (case when list_contains(coalesce(legacy_knw_ids, []), null) then ',' else '' end) sig from label_units),
-dg as (select h, min(question_id) primary_id, array_to_string(list_sort(list(question_id)), '|') members, count(*) n_members, count(distinct sig) label_sets, count(distinct sig) > 1 conflict from h group by h having count(*) > 1)"""
+dg as (select h, min(question_id) primary_id, list(question_id) members, count(*) n_members, count(distinct sig) label_sets, count(distinct sig) > 1 conflict from h group by h having count(*) > 1)"""
 _ROUTE = """rt as (select question_id, unit_type, count(c.label_id) matched, coalesce(count_if(c.label_id is null and coalesce(r, '') <> ''), 0)::bigint unmatched from (select question_id, unit_type, unnest(case when len(legacy_knw_ids) > 0 then legacy_knw_ids else [null] end) r0, trim(r0, ' ') r from label_units) u left join label_catalog c on c.label_id = r group by all),
 routed as (select *, case when matched = 0 or unmatched > 0 then 'R2' when unit_type = 'sub_question' or matched > 1 then 'R1' else 'R0' end route from rt)"""
 _ORPH = """orph as (select p.parent_id, case when l.living is null then 'absent' else 'deleted' end status, children, blank_children from (select trim(parent_id, ' ') parent_id, count(*) children, count_if(trim(coalesce(stem, ''), ' ') = '')::bigint blank_children from label_units where trim(parent_id, ' ') <> '' and trim(parent_id, ' ') <> question_id group by 1) p
@@ -244,10 +256,10 @@ QUERIES = {
 ORACLES = {
     "parent_group": f"with {_FIRST}, k as (select parent_id question_id, array_to_string(list_sort(list(question_id)), '|') children, count(*) n_children from f where coalesce(parent_id, '') not in ('', question_id) group by 1), r as (select question_id, copies from f where coalesce(parent_id, '') in ('', question_id) or question_id in (select question_id from k)) select coalesce(r.question_id, k.question_id) question_id, r.question_id is null placeholder, coalesce(children, '') children, coalesce(n_children, 0) n_children, coalesce(copies, 0) copies from r full join k on r.question_id = k.question_id",
     "duplicate_ids": "select question_id, count(*) n_rows, count(distinct question_info) forms from raw_question group by 1 having count(*) > 1",
-    "exact_dup_groups": f"with {_DG} select h content_hash, primary_id, members, n_members, label_sets, conflict from dg",
+    "exact_dup_groups": f"with {_DG} select h content_hash, primary_id, n_members, label_sets, conflict from dg",
     "dup_savings": f"with {_DG} select count(*) \"groups\", sum(n_members)::bigint members, sum(n_members - 1)::bigint saved, count_if(conflict)::bigint conflicts from dg",
     "unit_route": f"with {_ROUTE} select * from routed",
-    "dup_flags": f"with {_DG}, {_ROUTE}, m as (select primary_id, conflict, unnest(string_split(members, '|')) question_id from dg) select r.question_id, case when primary_id <> r.question_id then primary_id end duplicate_of, coalesce(conflict, false) conflict, case when primary_id <> r.question_id then 'copy' when conflict then 'R2' else route end route from routed r left join m on m.question_id = r.question_id",
+    "dup_flags": f"with {_DG}, {_ROUTE}, m as (select primary_id, conflict, unnest(members) question_id from dg) select r.question_id, case when primary_id <> r.question_id then primary_id end duplicate_of, coalesce(conflict, false) conflict, case when primary_id <> r.question_id then 'copy' when conflict then 'R2' else route end route from routed r left join m on m.question_id = r.question_id",
     "content_status": "select unit_type, case when trim(coalesce(stem, ''), ' ') <> '' then 'stem' when trim(coalesce(parent_stem, ''), ' ') || trim(coalesce(options, ''), ' ') || trim(coalesce(answer_text, ''), ' ') || trim(coalesce(analysis, ''), ' ') <> '' then 'other_text' else 'none' end status, regexp_matches(concat_ws(chr(10), parent_stem, stem, options), '" + "|".join(X.IMAGE_WORDS) + "') mentions_image, flags.image_context_missing image_missing, count(*) n from label_units group by all",
     "parent_explode": "select distinct p.question_id parent_id, e.q question_id, e.pos pos, (len(list_distinct(child_question_ids)) + (len(list_filter(child_question_ids, lambda x: x is null)) > 0)::int)::bigint siblings, exists (select 1 from label_units u where u.question_id = e.q) present from parent_plan p left join lateral (select unnest(p.child_question_ids) q, unnest(range(len(p.child_question_ids))) pos) e on true where deleted_at is null",
     "orphan_parents": f"with {_ORPH} select * from orph",

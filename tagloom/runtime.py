@@ -71,9 +71,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     if hot is None:
         hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").orderBy(F.desc("_n")).limit(HOT_KEYS)
     hot = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in left.columns if left.schema[c].dataType.simpleString() in SIMPLE]), F.lit(SALTS)).cast("int")).otherwise(0)
+    # The partition takes part, so that repeated rows are spread too; a task that runs again has the same one.
+    own = [F.col(c).cast("string") for c in left.columns if left.schema[c].dataType.simpleString() in SIMPLE]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*own, F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0)
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    a = left.join(hot, on, "left").withColumn("_salt", spread).drop("_hot")
+    a = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     b = right.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return a.join(b.hint("merge") if merge else b, [*on, "_salt"], how).drop("_salt")
 
