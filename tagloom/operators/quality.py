@@ -96,10 +96,12 @@ def percentile_at(values: DataFrame, by: str, col: str, shares: list[float]) ->
 
 def throughput(log: DataFrame, by: str, at: str, last: int) -> DataFrame:
     """Per key: rows, and rows an hour over its `last` latest rows (null with one instant)."""
-    w = Window.partitionBy(by).orderBy(F.desc(at))
-    g = log.withColumn("_n", F.row_number().over(w)).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_n") <= last).alias("recent"), F.min(F.when(F.col("_n") <= last, F.col(at))).alias("_a"), F.max(at).alias("_z"))
+    n = log.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    # The window is cut to `last` rows a key before the shuffle; the count has its own map-side aggregation.
+    recent = log.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at)))).where(F.col("_n") <= last)
+    g = recent.groupBy(by).agg(F.count(F.lit(1)).alias("recent"), F.min(at).alias("_a"), F.max(at).alias("_z"))
     s = (F.unix_micros(F.col("_z").cast("timestamp")) - F.unix_micros(F.col("_a").cast("timestamp"))) / 1e6
-    return g.withColumn("per_hour", F.round(F.try_divide((F.col("recent") - 1) * 3600, s), 4)).select(by, "n", "recent", "per_hour")
+    return n.join(g, by).withColumn("per_hour", F.round(F.try_divide((F.col("recent") - 1) * 3600, s), 4)).select(by, "n", "recent", "per_hour")
 
 
 # --- queries ----------------------------------------------------------------------

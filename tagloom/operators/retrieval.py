@@ -103,19 +103,26 @@ def bm25_join(units: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def _nearest(ids: list[int], queries: np.ndarray, k: int):
-    """Mapper (id, vector) -> each batch's k nearest rows of every query (id, other, similarity)."""
+    """Mapper (id, vector) -> the partition's k nearest rows of every query (query_id, vec_id, similarity)."""
+    few = 256  # queries compared at once, which bounds the matrix of similarities
 
     def run(batches):
+        best = {lo: (np.empty((len(ids[lo : lo + few]), 0)), np.empty((len(ids[lo : lo + few]), 0), np.int64)) for lo in range(0, len(ids), few)}
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
             if not len(keys):
                 continue
-            s = np.round(queries @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, ROUND)
-            s[np.equal.outer(ids, keys)] = -np.inf
-            order = np.lexsort((np.broadcast_to(keys, s.shape), -s))[:, :k]
-            rows = [(int(q), int(keys[j]), float(s[i, j])) for i, q in enumerate(ids) for j in order[i] if np.isfinite(s[i, j])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "similarity"])
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            for lo, (had, who) in best.items():
+                s = np.round(queries[lo : lo + few] @ v.T, ROUND)
+                s[np.equal.outer(ids[lo : lo + few], keys)] = -np.inf
+                s, others = np.hstack([had, s]), np.hstack([who, np.broadcast_to(keys, s.shape)])
+                order = np.lexsort((others, -s))[:, :k]
+                best[lo] = np.take_along_axis(s, order, 1), np.take_along_axis(others, order, 1)
+        for lo, (s, others) in best.items():
+            i, j = np.nonzero(np.isfinite(s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[lo : lo + few], np.int64)[i]), pa.array(others[i, j]), pa.array(s[i, j])], ["query_id", "vec_id", "similarity"])
 
     return run
 
