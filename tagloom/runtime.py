@@ -87,7 +87,10 @@ SIMPLE = {"string", "bigint", "int", "timestamp", "timestamp_ntz", "double", "bo
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it comes in fewer partitions than there are cores (one small file); at scale it is df itself.
 
-    For what costs far more CPU a row than moving the row does."""
+    For what costs far more CPU a row than moving the row does. A plan with a shuffle of its own is left as it is: asking for its
+    partitions would run it."""
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

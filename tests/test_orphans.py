@@ -40,3 +40,11 @@ def test_salted_join_equals_plain_join(spark):
     for how in ("inner", "left", "left_semi"):
         x, y = runtime.salted_join(a, b, ["k"], how), a.join(b, "k", how)
         assert sorted(map(tuple, x.select(sorted(x.columns)).collect()), key=repr) == sorted(map(tuple, y.select(sorted(y.columns)).collect()), key=repr)
+
+
+def test_spread_leaves_shuffled_plans_alone(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert runtime.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = df.groupBy("id").count()
+    assert runtime.spread(grouped) is grouped
