@@ -134,7 +134,10 @@ QUERY_BLOCK = 4096
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """(query_id, vec_id, similarity, rk): the k rows with the largest cosine to each query, exact, itself left out.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; every task keeps its k best a query before the shuffle."""
+    Queries go to the tasks in blocks of QUERY_BLOCK; every task keeps its k best a query before the shuffle. Rows without a key or with a
+    null in the vector take no part; a vector of zeros has similarity 0 to all."""
+    sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    vectors, queries = vectors.where(sound), queries.where(sound).dropDuplicates([key])
     parts, count = None, queries.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
     for n in range(blocks):

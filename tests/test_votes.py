@@ -52,3 +52,10 @@ def test_cosine_is_exact(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(12)], "vec_id long, embedding array<double>")
     got = R.cosine_topk(v, v.where(F.col("vec_id") == 3), k=2).collect()
     assert [r.rk for r in got] == [1, 2] and all(r.vec_id != 3 for r in got)
+
+
+def test_cosine_ignores_nulls(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (None, [1.0, 1.0]), (4, [None, 1.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.similarity) for r in R.cosine_topk(v, v.where("vec_id = 1 or vec_id is null"), k=5).orderBy("rk").collect()]
+    assert got == [(1, 2, 0.995037), (1, 5, 0.0)]
+    assert R.cosine_topk(v.where("vec_id > 9"), v.where("vec_id > 9")).count() == 0
