@@ -101,6 +101,10 @@ def q_signature(s, d):
     return candidate_signature(_pool(s, d), "v1")
 
 
+def q_signature_all(s, d):
+    return candidate_signature(S.all_pairs(s, d), "v1")
+
+
 def q_judge(s, d):
     """Judge summaries per target: reviewers as judges of hard negatives, their labels as what they selected."""
     rev = base.latest_votes(s, d).where("vote like 'rev%'").select("question_id", "vote", "labels")
@@ -200,8 +204,8 @@ def q_greedy(s, d):
 
 
 def q_coarse(s, d):
-    """Coarse recall by a scorer: candidates under codes, the scorer's choice decoded to label ids."""
-    codes = S.anonymous(_pool(s, d), "v1")
+    """Coarse recall by a scorer: every candidate under a code, the scorer's choice decoded to label ids."""
+    codes = S.anonymous(S.all_pairs(s, d), "v1")
     tasks = codes.withColumn("task_id", F.concat("question_id", F.lit("::"), "label_id"))
     best = S.run(tasks, S.HashScorer("coarse")).where("score >= 0.5").groupBy("question_id").agg(F.collect_list("code").alias("selected"))
     return S.decode(best, codes).select("question_id", F.array_join("selected", "|").alias("selected"), "unknown", "need_expand")
@@ -228,6 +232,7 @@ _CLIP = lambda c, n: f"case when length(coalesce({c}, '')) > {n} then left({c},
 QUERIES = {
     "dense_label_text": q_label_text, "dense_unit_text": q_unit_text, "candidate_signature": q_signature, "judge_summary": q_judge, "corrected_boundary": q_corrected, "choice_agreement": q_choices, "choice_agreement_summary": q_choice_summary, "quality_reasons": q_flags,
     "flip_direction": q_flips, "ablation_sample": q_ablation_sample, "unstable_sample": q_unstable, "paired_snapshot": q_snapshot, "next_stage": q_next_stage, "teacher_package": q_teacher, "pattern_package": q_pattern_package, "greedy_stress_sample": q_greedy, "coarse_recall": q_coarse, "set_algebra": q_set_algebra,
+    "candidate_signature_all": q_signature_all,
 }
 ORACLES = {
     "dense_unit_text": "select question_id, concat_ws(chr(10), " + ", ".join(f"'{h}' || {_CLIP(c, n)}" for h, c, n in UNIT_TEXT) + ") body from label_units",
@@ -247,3 +252,4 @@ ORACLES = {
     "pattern_package": f"{V._CUBE}, p as (select *, question_id || '::' || label_id pair_id from cube6), r as (select *, row_number() over (partition by q, d order by sha256('pattern' || chr(0) || pair_id), pair_id) pick from p qualify pick <= 10) select q, d, pair_id, pick, left(coalesce(stem, ''), 80) head from r left join label_units u on u.question_id = r.question_id",
 }
 ORACLES["dense_label_text"] = "select label_id, concat_ws(chr(10), " + ", ".join(f"'{h}' || left(replace(coalesce({c}, ''), {chr(39)}->{chr(39)}, {chr(39)}{'@' if c == 'label_path' else '->'}{chr(39)}), {n})" for h, c, n in LABEL_TEXT) + ") body from label_catalog"
+ORACLES["candidate_signature_all"] = f"with {base.SCORED}, p as (select distinct question_id, label_id from scored) select question_id, sha256(string_agg(label_id, chr(10) order by sha256('v1:' || question_id || ':' || label_id), label_id)) signature from p group by 1"

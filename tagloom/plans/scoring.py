@@ -22,6 +22,7 @@ from tagloom.plans import base
 from tagloom.runtime import assert_empty, table
 
 OUT = "selected array<string>, score double, error string, attempts int"
+UNION = 30  # ranks of the sparse and of the dense list that are reranked, and pairs a question that stay, as in the original
 
 
 class Scorer(Protocol):
@@ -174,24 +175,58 @@ def _pool(s: SparkSession, d: str) -> DataFrame:
     return base.rankings(s, d).where("rk <= 5").select("question_id", "label_id").distinct()
 
 
-def q_stub(s, d):
-    tasks = _pool(s, d).withColumn("task_id", F.concat("question_id", F.lit("::"), "label_id"))
+def all_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Every scored pair of question and label, whatever its rank."""
+    return base.scored(s, d).select("question_id", "label_id").distinct()
+
+
+def _union(s, d):
+    """The original's pool: the first UNION of the sparse and of the dense list."""
+    return base.rankings(s, d).where(F.col("method").isin("bm25-char", "dense") & (F.col("rk") <= UNION)).select("question_id", "label_id").distinct()
+
+
+def _stub(pairs):
+    tasks = pairs.withColumn("task_id", F.concat("question_id", F.lit("::"), "label_id"))
     return run(tasks, HashScorer()).select("task_id", F.round("score", 6).alias("score"), F.col("error").isNull().alias("ok"))
 
 
+def q_stub(s, d):
+    return _stub(_pool(s, d))
+
+
+def q_stub_all(s, d):
+    return _stub(all_pairs(s, d))
+
+
 def q_rerank(s, d):
     return rerank(_pool(s, d), HashScorer(), 10)
 
 
-def q_threshold(s, d):
+def q_rerank_union(s, d):
+    return rerank(_union(s, d), HashScorer(), UNION)
+
+
+def _accepted(pairs):
     """Pairs that a binary scorer accepts at the threshold, per label."""
-    return rerank(_pool(s, d), HashScorer(), 10_000).groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= base.MATCH).alias("accepted"))
+    return run(pairs.withColumn("task_id", F.concat("question_id", F.lit("::"), "label_id")), HashScorer()).where("error is null").withColumn("score", F.round("score", 6)).groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= base.MATCH).alias("accepted"))
+
+
+def q_threshold(s, d):
+    return _accepted(_pool(s, d))
+
+
+def q_threshold_all(s, d):
+    return _accepted(all_pairs(s, d))
 
 
 def q_codes(s, d):
     return anonymous(_pool(s, d), "v1")
 
 
+def q_codes_all(s, d):
+    return anonymous(all_pairs(s, d), "v1")
+
+
 def q_resume(s, d):
     v = table(s, d, "vote_responses").where("question_id is not null and vote is not null").select(F.concat("vote", F.lit(":"), "question_id").alias("task_id"), "error")
     return resume(v.select("task_id").distinct(), v)
@@ -216,8 +251,12 @@ def q_exclusions(s, d):
 
 
 _POOL = f"with {base.RANKED}, pool as (select distinct question_id, label_id from ranked where rk <= 5), sc as (select *, question_id || '::' || label_id task_id, ('0x' || left(sha256('stub:' || question_id || '::' || label_id), 8))::bigint / 4294967296.0::double score from pool)"
+_SCORE = "sc as (select *, question_id || '::' || label_id task_id, ('0x' || left(sha256('stub:' || question_id || '::' || label_id), 8))::bigint / 4294967296.0::double score from pool)"
+_ALL = f"with {base.SCORED}, pool as (select distinct question_id, label_id from scored), {_SCORE}"
+_UNION = f"with {base.RANKED}, pool as (select distinct question_id, label_id from ranked where \"method\" in ('bm25-char', 'dense') and rk <= {UNION}), {_SCORE}"
 _OWN = "own as (select distinct question_id, trim(r, ' ') label_id from (select question_id, unnest(legacy_knw_ids) r from label_units) where trim(r, ' ') <> '')"
 QUERIES = {"stub_scorer": q_stub, "rerank_pool": q_rerank, "binary_threshold": q_threshold, "anonymous_codes": q_codes, "resume_tasks": q_resume, "experiment_conditions": q_conditions, "definition_verifier": q_verify, "audited_exclusions": q_exclusions}
+QUERIES |= {"stub_scorer_all": q_stub_all, "rerank_union": q_rerank_union, "binary_threshold_all": q_threshold_all, "anonymous_codes_all": q_codes_all}
 ORACLES = {
     "stub_scorer": f"{_POOL} select task_id, round(score, 6) score, true ok from sc",
     "rerank_pool": f"{_POOL} select question_id, label_id, round(score, 6) score, row_number() over (partition by question_id order by round(sc.score, 6) desc, label_id) rk from sc qualify rk <= 10",
@@ -228,3 +267,9 @@ ORACLES = {
     "definition_verifier": f"with {base.LEGACY}, {base.SCORED}, c as (select question_id, label_id, max(score) >= {base.MATCH} m from scored group by all), j as (select l.*, coalesce(m, false) kept from legacy l left join c on c.question_id = l.question_id and c.label_id = l.label_id) select *, not bool_or(kept) over (partition by question_id) all_rejected from j",
     "audited_exclusions": f"with {_OWN}, j as (select *, label_id in (select label_id from label_catalog where retired_at is not null) removed from own) select *, bool_or(removed) over (partition by question_id) no_training from j",
 }
+ORACLES |= {
+    "stub_scorer_all": f"{_ALL} select task_id, round(score, 6) score, true ok from sc",
+    "rerank_union": f"{_UNION} select question_id, label_id, round(score, 6) score, row_number() over (partition by question_id order by round(sc.score, 6) desc, label_id) rk from sc qualify rk <= {UNION}",
+    "binary_threshold_all": f"{_ALL} select label_id, count(*) n, count_if(round(score, 6) >= {base.MATCH})::bigint accepted from sc group by 1",
+    "anonymous_codes_all": f"{_ALL} select question_id, label_id, 'C' || case when k < 10 then '0' else '' end || k code from (select *, row_number() over (partition by question_id order by sha256('v1:' || question_id || ':' || label_id), label_id) k from pool)",
+}
