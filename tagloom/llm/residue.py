@@ -6,8 +6,9 @@ Bayes model is learnt from positive and unlabelled passages by expectation-maxim
 (messages and slots, written down as fixed values), the unlabelled ones a bounded sample of the corpus' own passages (SAMPLE distinct
 passages at most, chosen by hash). Each round gives every unlabelled passage its probability of being residue and
 re-estimates both classes; a few trusted sentences of content that only speaks of errors, scripts or templates are held on the content side. Then
-every passage of every document is scored by its sum of log-odds, or by its best stretch of neighbouring tokens where that holds the sign of
-a slot (so that a slot in the middle of real content counts as itself), and a document's score is its best passage's.
+every passage of every document is scored by its sum of log-odds, by its best stretch of neighbouring tokens, from which FREE is taken off unless it
+holds the sign of a slot, and by the sums of its sentences and of its runs of Latin text, each as if it stood alone (so that a slot or a message in
+the middle of real content counts as itself). A document's score is its best passage's.
 
 Defined cases: null and empty texts score 0 and are no cases; texts are scored whole, in pieces of at most PASSAGE characters a passage;
 repeated rows of one id give one row; an empty table gives no row and needs no model."""
@@ -29,6 +30,7 @@ SAMPLE = 20_000  # unlabelled passages that the model is fitted on, at most
 PASSAGE = 400
 ROUNDS, PRIOR, SMOOTH, MASS, TRUST, SLOT, COUNTER, TEMPER = 3, 0.01, 1.5e-7, 1_000.0, 4.0, 1.0, 10.0, 0.1
 THRESHOLD = 5.0
+FREE = 2.5  # what a stretch without a slot's sign must have above the threshold: content reaches 5.3 on sf0.1
 MEMO = 2_000_000  # tokens in context whose value a task remembers, at most
 NEW = -1.0  # log-odds of a feature that the model hasn't seen
 
@@ -333,6 +335,16 @@ def passages(text: str):
             yield s[lo : lo + PASSAGE]
 
 
+SENTENCE = re.compile(r"(?<=[。！？；!?;])|(?<=\.)\s")
+LATIN = re.compile(r"[ -~]{6,}")
+
+
+def spans(passage: str) -> list[str]:
+    """The sentences of a passage and its runs of Latin text, without those that are all of it."""
+    parts = SENTENCE.split(passage) + ([] if passage.isascii() else LATIN.findall(passage))
+    return [p for p in dict.fromkeys(map(str.strip, parts)) if p and p != passage]
+
+
 def _word(token: str) -> str:
     """A token's own feature: numbers, hexadecimal ids, names with underscores and words of one repeated unit are each one word."""
     c = token[0]
@@ -449,7 +461,8 @@ def fit(unlabelled: list[str]) -> dict[str, float]:
 
 
 def scorer(odds: dict[str, float]):
-    """passage -> the sum of its log-odds (a token counts with the mean of its features), or its best stretch that holds a slot's sign if larger."""
+    """passage -> the largest of its sum of log-odds (a token counts with the mean of its features), its best stretch that holds a slot's sign,
+    its best stretch of any kind less FREE, and the sums of its spans."""
     known: dict[tuple, tuple[float, bool]] = {}
 
     def value(c: tuple) -> tuple[float, bool]:
@@ -460,7 +473,7 @@ def scorer(odds: dict[str, float]):
         return v
 
     def score(passage: str) -> float:
-        best = whole = run = 0.0
+        best = free = whole = run = 0.0
         signs = 0
         for c in contexts(passage):
             v, sign = known.get(c) or value(c)
@@ -470,9 +483,12 @@ def scorer(odds: dict[str, float]):
                 run, signs = 0.0, int(sign)
                 continue
             signs += sign
+            if run > free:
+                free = run
             if signs and run > best:
                 best = run
-        return max(best, whole)
+        parts = max((sum((known.get(c) or value(c))[0] for c in contexts(p)) for p in spans(passage)), default=0.0)
+        return max(best, whole, free - FREE, parts)
 
     return score
 
