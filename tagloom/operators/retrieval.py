@@ -242,6 +242,11 @@ def q_quota(s, d):
     return quota_fuse(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), 3, 2, 8)
 
 
+def q_quota_original(s, d):
+    """The original's quotas and cap."""
+    return quota_fuse(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), 18, 7, 25)
+
+
 def q_compare(s, d):
     return compare_rankings(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), 5)
 
@@ -275,9 +280,17 @@ def q_augment(s, d):
 
 
 def q_source_mix(s, d):
+    return _source_mix(q_quota(s, d))
+
+
+def q_source_mix_original(s, d):
+    return _source_mix(q_quota_original(s, d))
+
+
+def _source_mix(fused):
     """How many fused candidates came from sparse only, dense only and both, by stage."""
     mix = F.when(F.col("sparse_rk").isNull(), "dense").when(F.col("dense_rk").isNull(), "sparse").otherwise("both")
-    return q_quota(s, d).groupBy("stage", mix.alias("mix")).agg(F.count(F.lit(1)).alias("n"))
+    return fused.groupBy("stage", mix.alias("mix")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_target_rank(s, d):
@@ -314,6 +327,12 @@ b as (select coalesce(s.question_id, e.question_id) question_id, coalesce(s.labe
 n as (select *, row_number() over (partition by question_id, f order by dense_rk nulls last, label_id) new, round(coalesce(1.0 / (60 + sparse_rk), 0) + coalesce(1.0 / (60 + dense_rk), 0), 8) sc from b),
 g as (select *, case when f then 1 when dense_rk is not null and new <= 2 then 2 else 3 end::bigint stage from n),
 q as (select question_id, label_id, stage, sparse_rk::int sparse_rk, dense_rk::int dense_rk, row_number() over (partition by question_id order by stage, case stage when 1 then sparse_rk when 2 then dense_rk end nulls first, sc desc, label_id) rk from g qualify rk <= 8)"""
+_QUOTA_ORIGINAL = f"""with {base.RANKED},
+b as (select coalesce(s.question_id, e.question_id) question_id, coalesce(s.label_id, e.label_id) label_id, s.rk sparse_rk, e.rk dense_rk, coalesce(s.rk <= 18, false) f
+  from {_R('bm25-char')} s full join {_R('dense')} e on s.question_id = e.question_id and s.label_id = e.label_id),
+n as (select *, row_number() over (partition by question_id, f order by dense_rk nulls last, label_id) new, round(coalesce(1.0 / (60 + sparse_rk), 0) + coalesce(1.0 / (60 + dense_rk), 0), 8) sc from b),
+g as (select *, case when f then 1 when dense_rk is not null and new <= 7 then 2 else 3 end::bigint stage from n),
+q as (select question_id, label_id, stage, sparse_rk::int sparse_rk, dense_rk::int dense_rk, row_number() over (partition by question_id order by stage, case stage when 1 then sparse_rk when 2 then dense_rk end nulls first, sc desc, label_id) rk from g qualify rk <= 25)"""
 _CMP = f"""with {base.RANKED},
 a as (select question_id, list(label_id) s, arg_min(label_id, rk) t from {_R('bm25-char')} where rk <= 5 group by 1), e as (select question_id, list(label_id) s, arg_min(label_id, rk) t from {_R('dense')} where rk <= 5 group by 1),
 cmp as (select question_id, a.t = e.t top1_same, len(list_intersect(a.s, e.s))::bigint overlap, round(len(list_intersect(a.s, e.s)) / (len(a.s) + len(e.s) - len(list_intersect(a.s, e.s))), 6) jaccard from a join e using (question_id))"""
@@ -323,6 +342,7 @@ QUERIES = {
     "text_tokens": text_tokens, "token_df": token_df, "label_cards": q_label_cards, "bm25_topk": q_bm25, "bm25_candidate_counts": q_bm25_report, "cosine_topk": q_cosine,
     "rrf_fuse": q_rrf, "quota_fuse": q_quota, "fusion_source_mix": q_source_mix, "compare_rankings": q_compare, "compare_rankings_summary": q_compare_summary,
     "recall_at_k": q_recall, "recall_by_type": q_recall_by_type, "recall_by_label": q_recall_by_label, "recall_misses": q_misses, "augment_candidates": q_augment, "target_in_candidates": q_target_rank,
+    "quota_fuse_original": q_quota_original, "fusion_source_mix_original": q_source_mix_original,
 }
 ORACLES = {
     "text_tokens": f"with {_UT} select question_id, count(*) tokens, sum(w) weight from ut group by all",
@@ -343,3 +363,7 @@ ORACLES = {
     "augment_candidates": f"{_LEG}, x as (select hy.question_id, hy.label_id, rk, case when l.label_id is null then 'retrieval' else 'both' end source from hy left join legacy l on l.question_id = hy.question_id and l.label_id = hy.label_id union all select question_id, label_id, null, 'legacy' from legacy l where question_id in (select question_id from hy) and not exists (select 1 from hy where hy.question_id = l.question_id and hy.label_id = l.label_id)) select question_id, label_id, row_number() over (partition by question_id order by rk nulls last, label_id) rk, source from x",
     "target_in_candidates": f"{_LEG}, f as (select question_id, min(label_id) label_id from legacy group by 1), z as (select question_id, count(*) listed from hy group by 1) select f.question_id, f.label_id, rk is not null hit, rk::bigint rk, listed, case when rk is null then 'unknown' when rk <= 5 then '1-5' when rk <= 10 then '6-10' when rk <= 25 then '11-25' else '26+' end band from f join z using (question_id) left join hy on f.question_id = hy.question_id and f.label_id = hy.label_id",
 }
+ORACLES |= {
+    "quota_fuse_original": f"{_QUOTA_ORIGINAL} select * from q",
+    "fusion_source_mix_original": f"{_QUOTA_ORIGINAL} select stage, case when sparse_rk is null then 'dense' when dense_rk is null then 'sparse' else 'both' end mix, count(*) n from q group by all",
+}
