@@ -8,6 +8,7 @@ bottom_k prunes within each task before the shuffle (Spark's window group limit)
 
 from __future__ import annotations
 
+import json
 import math
 
 import pandas as pd
@@ -19,6 +20,7 @@ from tagloom.plans import base
 from tagloom.runtime import table, written
 
 SEED = "tagloom-1"
+TASKS = 32  # each of which sends its own best rows to the driver, at most
 
 
 def bernoulli(df: DataFrame, key: str, share: float, seed: str = SEED) -> DataFrame:
@@ -115,22 +117,38 @@ def pilot(df: DataFrame, key: str, kind: str, stratum: str, must: str, per_strat
 
 
 def greedy_rare(pool: DataFrame, key: str, tags: str, k: int, bound: int = 20_000, seed: str = SEED) -> list[str]:
-    """k keys picked one after the other, each time the row whose tags were picked least often so far weigh most.
-
-    Each pick changes later weights, so this is sequential; it runs on the driver over at most `bound` rows (the first by hash)."""
-    rows = pool.select(key, tags, X.hash_rank(seed, key).alias("_h")).orderBy("_h", key).limit(bound).collect()
-    count: dict[str, int] = {}
-    for r in rows:
-        for t in r[1] or []:
-            count[t] = count.get(t, 0) + 1
+    """k keys picked one after the other, each time the row whose tags were picked least often so far weigh most. key should be unique.
+
+    Tags are counted over all rows. Each pick changes later weights, but only downwards: the driver holds the `bound` rows that weigh most, and
+    picks from them as long as the best comes before the last of them, which all other rows came behind. Then all rows are weighed anew."""
+    e = pool.select(key, X.hash_rank(seed, key).alias("_h"), F.explode_outer(tags).alias("_t"))
+    e = e.join(e.where("_t is not null").groupBy("_t").agg(F.count(F.lit(1)).alias("_n")), "_t", "left")
+    # Sorted by tag, so that sums here and on the driver add in one order.
+    rows = written(e.groupBy(key, "_h").agg(F.array_sort(F.collect_set(F.when(F.col("_t").isNotNull(), F.struct("_t", "_n")))).alias("_c")), "greedy")
     seen: dict[str, int] = {}
-    left, out = {r[0]: (r["_h"], sorted(set(r[1] or []))) for r in rows}, []
-    while left and len(out) < k:
-        weight = lambda item: (-sum(1 / count[t] / (1 + seen.get(t, 0)) for t in item[1][1]), item[1][0])
-        best = min(left.items(), key=weight)[0]
-        for t in left.pop(best)[1]:
-            seen[t] = seen.get(t, 0) + 1
-        out.append(best)
+    out: list[str] = []
+
+    def weight(c) -> float:
+        total = 0.0
+        for t, n in c:
+            total += 1 / n / (1 + seen.get(t, 0))
+        return total
+
+    while len(out) < k:
+        times = F.from_json(F.lit(json.dumps(seen)), "map<string,bigint>")
+        w = F.aggregate("_c", F.lit(0.0), lambda x, s: x + F.lit(1.0) / s["_n"] / (1 + F.coalesce(F.try_element_at(times, s["_t"].cast("string")), F.lit(0))))
+        left = rows.where(~F.col(key).isin(out)) if out else rows
+        held = [(r[0], r["_h"], r["_c"]) for r in left.select(key, "_h", "_c").coalesce(TASKS).orderBy(F.desc(w), "_h", key).limit(bound).collect()]
+        last = (-weight(held[-1][2]), held[-1][1], held[-1][0]) if len(held) == bound else None
+        while held and len(out) < k:
+            place, n = min(((-weight(c), h, x), n) for n, (x, h, c) in enumerate(held))
+            if last is not None and place > last:
+                break
+            out.append(place[2])
+            for t, _ in held.pop(n)[2]:
+                seen[t] = seen.get(t, 0) + 1
+        if last is None:
+            break
     return out
 
 
