@@ -10,7 +10,8 @@ every passage of every document is scored by its sum of log-odds, by its best st
 holds the sign of a slot, and by the sums of its sentences and of its runs of Latin text, each as if it stood alone (so that a slot or a message in
 the middle of real content counts as itself). A document's score is its best passage's.
 
-Defined cases: null and empty texts score 0 and are no cases; texts are scored whole, in pieces of at most PASSAGE characters a passage;
+Defined cases: null and empty texts score 0 and are no cases; texts are scored whole, in pieces of at most PASSAGE characters a passage and
+once more around each cut;
 repeated rows of one id give one row; an empty table gives no row and needs no model."""
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,7 @@ from tagloom.runtime import spread, table
 
 SAMPLE = 20_000  # unlabelled passages that the model is fitted on, at most
 PASSAGE = 400
+SEAM = 200  # characters to either side of a cut; the longest trusted record has 160
 ROUNDS, PRIOR, SMOOTH, MASS, TRUST, SLOT, COUNTER, TEMPER = 3, 0.01, 1.5e-7, 1_000.0, 4.0, 1.0, 10.0, 0.1
 THRESHOLD = 5.0
 FREE = 2.5  # what a stretch without a slot's sign must have above the threshold: content reaches 5.3 on sf0.1
@@ -335,6 +338,18 @@ def passages(text: str):
             yield s[lo : lo + PASSAGE]
 
 
+INK, INK_BEFORE = re.compile(r"[!-~]*"), re.compile(r"[!-~]*\Z")
+
+
+def seams(text: str):
+    """What stands around each cut that passages() makes: SEAM characters to either side, and up to 40 more so that no formula or word is halved."""
+    for line in text.splitlines():
+        s = line.strip()
+        for at in range(PASSAGE, len(s), PASSAGE):
+            head, tail = INK_BEFORE.search(s, at - SEAM - 40, at - SEAM), INK.match(s, at + SEAM, at + SEAM + 40)
+            yield s[head.start() : tail.end()]
+
+
 SENTENCE = re.compile(r"(?<=[。！？；!?;])|(?<=\.)\s")
 LATIN = re.compile(r"[ -~]{6,}")
 
@@ -529,7 +544,7 @@ def _scored(odds: dict[str, float]):
             best = []
             for t in b.column(1).to_pylist():
                 top, where = 0.0, None
-                for p in passages(t or ""):
+                for p in chain(passages(t or ""), seams(t or "")):
                     if (s := score(p)) > top:
                         top, where = s, p
                 best.append((top, where))
