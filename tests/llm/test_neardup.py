@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tagloom.llm import neardup as N
@@ -65,14 +66,79 @@ def test_long_text(spark):
 
 
 def test_prefix_and_skip_agree_with_full_count(spark):
-    """With MATCH = 3 two coordinates are skipped in the list join; the result is the same as counting all coordinates."""
+    """Whatever is skipped, and in whatever order frequent values come, the pairs are those of counting all coordinates."""
     rnd = random.Random(9)
     base = [chr(0x4E00 + rnd.randrange(900)) for _ in range(150)]
-    rows = [(str(k), edited(rnd, "".join(base), 1 + k % 4)) for k in range(12)]
+    rows = [(str(k), edited(rnd, "".join(base), 1 + k % 40)) for k in range(60)]
+    docs = N.prepared(spark.createDataFrame(rows, "q string, t string"), "q", F.col("t"), 20)
+    sigs = N.class_signatures(docs)
+    sig = {r.c: np.frombuffer(r.sig, np.uint32) for r in sigs.collect()}
+    tops = N.frequent(sigs)
+    assert len(tops[0]) > 10
+    for match, seen in ((4, 2), (12, 4), (16, 1)):
+        want = {(a, b) for a in sig for b in sig if a < b and (sig[a] == sig[b]).sum() >= match}
+        got = [(r.ca, r.cb) for r in N.candidates(sigs, match=match, seen=seen).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_long_lists_are_joined_in_parts(spark, monkeypatch):
+    """One large family of different versions: its lists are split, and no pair is lost."""
+    monkeypatch.setattr(N, "LIST", 8)
+    rnd = random.Random(3)
+    base = "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(300))
+    rows = [(f"{k:03d}", edited(rnd, base, 3)) for k in range(90)]
+    rows += [(f"x{k:03d}", "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(200))) for k in range(60)]
+    names = sorted(r[0] for r in rows)
+    text = dict(rows)
+    want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if similarity(text[a], text[b]) >= 0.7}
+    assert set(run(spark, rows)) == want and len(want) > 3_000
+
+
+def test_a_third_of_all_rows_in_one_class(spark):
+    """The class stands on either side of its pairs, whichever hash is smaller; every copy is paired with every version."""
+    rnd = random.Random(4)
+    base = "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(200))
+    versions = [edited(rnd, base, 2) for _ in range(6)]
+    rows = [(f"c{k:03d}", base) for k in range(40)] + [(f"v{k}", v) for k, v in enumerate(versions)]
+    got = set(run(spark, rows))
+    assert {(f"c{k:03d}", f"v{j}") for k in range(40) for j in range(6)} <= got and len(got) == 46 * 45 // 2
     df = spark.createDataFrame(rows, "q string, t string")
     docs = N.prepared(df, "q", F.col("t"), 20)
-    sig = {r.c: r.toks for r in docs.mapInArrow(N._signatures(4, 5, 36), "id string, c long, h long, toks array<long>").collect()}
-    text = {r.c: r.t for r in docs.collect()}
-    want = {(a, b) for a in sig for b in sig if a < b and sum(x == y for x, y in zip(sig[a], sig[b])) >= 3 and similarity(text[a], text[b]) >= 0.7}
-    got = {(r.ca, r.cb) for r in N.class_pairs(docs, 0.7, match=3).collect()}
-    assert got == want and want
+    out = {r.id: (r.class_id, r.group_id, r.n_links) for r in N.groups(docs, N.class_pairs(docs, 0.7)).collect()}
+    assert len(out) == 46 and all(out[f"c{k:03d}"] == ("c000", "c000", 6) for k in range(40)) and {v[1] for v in out.values()} == {"c000"}
+
+
+def test_groups_of_chains(spark):
+    """A chain whose ends are not similar is one group; a text alone is its own."""
+    rnd = random.Random(6)
+    t = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(400))
+    rows = [(f"{k:02d}", t[k * 20 : k * 20 + 200]) for k in range(10)] + [("alone", t[::-1]), ("alone", t[::-1])]
+    docs = N.prepared(spark.createDataFrame(rows, "q string, t string"), "q", F.col("t"), 20)
+    out = {r.id: (r.class_id, r.group_id, r.n_links) for r in N.groups(docs, N.class_pairs(docs, 0.7)).collect()}
+    assert out.pop("alone") == ("alone", "alone", 0)
+    assert all(v[:2] == (k, "00") for k, v in out.items()) and out["00"][2] == 1 and out["05"][2] == 2
+    none = N.prepared(spark.createDataFrame([], "q string, t string"), "q", F.col("t"), 20)
+    assert N.groups(none, N.class_pairs(none, 0.7)).collect() == []
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(8)
+    edges = [(f"n{rnd.randrange(400):03d}", f"n{rnd.randrange(400):03d}") for _ in range(250)] + [(f"p{k:03d}", f"p{k + 1:03d}") for k in range(20)] + [("hub", f"h{k}") for k in range(50)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in N.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
+def test_exact_grams():
+    a, b = "甲乙丙丁戊己", "乙丙丁戊庚辛"
+    assert N.jaccard(*N.gram_sets([a, b], 4)) == similarity(a, b) == 1 / 5
+    assert N.jaccard(*N.gram_sets(["abc", a], 4)) == 0.0
