@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.runtime import spread, table, written
+from tagloom.runtime import HOT_KEYS, salted_join, spread, table, written
 
 # Greek and Cyrillic letters and the Latin letters of the same shape.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ" "οϲϳ"
@@ -89,18 +89,45 @@ def hashed(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(row_id).alias("id"), *fields).where("id is not null").transform(spread).mapInArrow(_hashed(len(fields)), f"id {kind}, skel binary, orig binary")
 
 
+def _hot(classes: DataFrame) -> DataFrame:
+    """(skel, orig): the largest groups of rows with the same characters, HOT_KEYS at most."""
+    return classes.where("n > 1").orderBy(F.desc("n"), "skel", "orig").limit(HOT_KEYS).select("skel", "orig")
+
+
+def look_classes(rows: DataFrame) -> DataFrame:
+    """(skel, orig, n): a row for each different original among rows (id, skel, orig), with its number of rows."""
+    return rows.groupBy("skel", "orig").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lookalike_pairs(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows whose fields all look the same while a character differs."""
+    """(id_a, id_b), id_a < id_b: rows whose fields all look the same while a character differs.
+
+    Pairs of different originals are made first, and a large group of equal originals is expanded in salted parts on whichever side it stands."""
     rows = written(hashed(df, row_id, fields).distinct(), "skeletons")  # ids and hashes only; the Python function runs once
-    classes = rows.groupBy("skel", "orig").agg(F.count(F.lit(1)).alias("n"))
+    classes = look_classes(rows)
     mixed = classes.groupBy("skel").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("skel")
-    forms = classes.join(mixed, "skel", "left_semi").select("skel", "orig")
-    pairs = forms.select("skel", F.col("orig").alias("oa")).join(forms.select("skel", F.col("orig").alias("ob")), "skel").where("oa <> ob")
-    left = pairs.join(rows.select("skel", F.col("orig").alias("oa"), F.col("id").alias("id_a")), ["skel", "oa"])
-    both = left.join(rows.select("skel", F.col("orig").alias("ob"), F.col("id").alias("id_b")), ["skel", "ob"])
+    forms = written(salted_join(classes, mixed, ["skel"], "left_semi"), "forms")
+    hot = _hot(forms)
+    side = lambda s: forms.select("skel", F.col("orig").alias(f"o{s}"))
+    pairs = salted_join(side("a"), side("b"), ["skel"]).where("oa <> ob")
+    named = lambda s: hot.select("skel", F.col("orig").alias(f"o{s}"))
+    own = lambda s: rows.select("skel", F.col("orig").alias(f"o{s}"), F.col("id").alias(f"id_{s}"))
+    left = salted_join(own("a"), pairs, ["skel", "oa"], hot=named("a"))
+    both = salted_join(left, own("b"), ["skel", "ob"], hot=named("b"))
     return both.where("id_a < id_b").select("id_a", "id_b")
 
 
+def lookalike_groups(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
+    """(id, group_id, class_id, forms, rows), a row for each id: the smallest id that looks the same, the smallest with the same characters, and how many
+    different originals and rows the group has. No pair is made."""
+    rows = written(hashed(df, row_id, fields).distinct(), "skeletons")
+    classes = rows.groupBy("skel", "orig").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    group = classes.groupBy("skel").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows"))
+    known = salted_join(classes.select("skel", "orig", "class_id"), group, ["skel"])
+    out = salted_join(rows, known, ["skel", "orig"])
+    return out.groupBy("id").agg(F.min(F.struct("group_id", "class_id", "forms", "rows")).alias("g")).select("id", "g.*")
+
+
 def one_form(df: DataFrame, fields: list[str], form: str = "NFC") -> DataFrame:
     """df with each field in one consistent form: its skeleton, composed again."""
 
@@ -125,5 +152,10 @@ def p7_one_form(spark: SparkSession, d: str) -> DataFrame:
     return one_form(table(spark, d, "exchange_units").select("exchange_id", *FIELDS), FIELDS)
 
 
-QUERIES = {"p7_found": p7_found, "p7_one_form": p7_one_form}
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with the group of rows that look like it."""
+    return lookalike_groups(table(spark, d, "exchange_units"), "exchange_id", FIELDS).withColumnRenamed("id", "exchange_id")
+
+
+QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups, "p7_one_form": p7_one_form}
 ORACLES: dict[str, str] = {}

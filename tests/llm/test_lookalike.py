@@ -30,6 +30,24 @@ def test_hot_class(spark):
     assert run(spark, rows) == [(i, 1000) for i in range(400)]
 
 
+def test_hot_class_on_either_side(spark):
+    """Large groups on both sides of a pair, ids mixed."""
+    rows = [(2 * i, "same", None, None) for i in range(120)] + [(2 * i + 1, "ѕame", None, None) for i in range(120)] + [(9999, "sаme", None, None)]
+    got = run(spark, rows)
+    assert len(got) == len(set(got)) == 120 * 120 + 240 and all(a < b for a, b in got)
+
+
+def groups(spark, rows):
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "exchange_id long, stem string, options string, answer_text string, skel string")
+    return sorted(map(tuple, M.lookalike_groups(df, "exchange_id", M.FIELDS).collect()))
+
+
+def test_groups(spark):
+    rows = [(3, "AB", None, None), (1, "ＡＢ", "", ""), (2, "AB", "", ""), (4, "ab", "", ""), (2, "AB", None, None), (5, None, None, None)]
+    assert groups(spark, rows) == [(1, 1, 1, 2, 3), (2, 1, 2, 2, 3), (3, 1, 2, 2, 3), (4, 4, 4, 1, 1), (5, 5, 5, 1, 1)]
+    assert groups(spark, []) == []
+
+
 def test_empty_and_long(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, "字" * 200_000, "", ""), (2, "字" * 200_000 + "​", "", "")]) == [(1, 2)]
