@@ -18,7 +18,18 @@ def found(spark, refs, plan):
 def test_missing_deleted_late_and_living(spark):
     plan = [("a", T0, None), ("b", T0, T1), ("c", T2, None), ("d", T0, T1), ("d", T2, None), (None, T0, None)]
     refs = [("1", T1, " a\t", None, None), ("2", T1, "b", None, None), ("3", T1, "c", None, None), ("4", T1, "d", None, None), ("5", T1, "x", None, None), ("6", T1, " \t ", None, None), ("7", T1, None, None, None), ("8", None, "c", None, None)]
-    assert found(spark, refs, plan) == {("1", "a", "living"), ("2", "b", "deleted"), ("3", "c", "late"), ("4", "d", "late"), ("5", "x", "missing"), ("8", "c", "living")}
+    assert found(spark, refs, plan) == {("1", "a", "living"), ("2", "b", "stale"), ("3", "c", "late"), ("4", "d", "late"), ("5", "x", "missing"), ("8", "c", "living")}
+
+
+def test_lives_of_a_key(spark):
+    """A key removed and made again: references of its first life are living, those between the lives late; touching and repeated intervals are one life."""
+    d = [datetime(2026, 1, k) for k in range(1, 10)]
+    plan = [("a", d[0], d[2]), ("a", d[0], d[2]), ("a", d[2], d[3]), ("a", d[5], None), ("b", d[1], d[2]), ("b", d[4], d[5]), ("c", None, d[3]), ("e", d[4], d[2])]
+    refs = [("1", d[1], "a"), ("2", d[2], "a"), ("3", d[4], "a"), ("4", d[6], "a"), ("5", d[0], "b"), ("6", d[1], "b"), ("7", d[3], "b"), ("8", d[5], "b"), ("9", d[0], "c"), ("10", d[3], "c"), ("11", d[8], "e"), ("12", d[0], "e")]
+    want = {("1", "a", "living"), ("2", "a", "living"), ("3", "a", "late"), ("4", "a", "living"), ("5", "b", "deleted"), ("6", "b", "deleted"), ("7", "b", "deleted"), ("8", "b", "stale"), ("9", "c", "deleted"), ("10", "c", "stale"), ("11", "e", "stale"), ("12", "e", "deleted")}
+    assert found(spark, [(*r, None, None) for r in refs], plan) == want
+    lives = O.validity(O.parents(spark.createDataFrame(plan, PLAN).repartition(3), "k", "id", "at", "gone"))
+    assert {r.ref_key: [tuple(x) for x in r.lives] for r in lives.collect()}["a"] == [(d[0], d[3]), (d[5], None)]
 
 
 def test_empty_tables(spark):
