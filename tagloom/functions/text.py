@@ -216,14 +216,14 @@ def change(a: C, b: C) -> Column:
 # --- bands ----------------------------------------------------------------------
 
 
-def bands(x: C, edges: list[tuple[float, str]], top: str, zero: str | None = None, missing: str | None = None) -> Column:
-    """The first name whose edge x is below; `zero` for 0, `missing` for null."""
+def bands(x: C, edges: list[tuple[float, str]], top: str, zero: str | None = None, missing: str | None = None, closed: bool = False) -> Column:
+    """The first name whose edge x is below (or equal to, if closed); `zero` for 0, `missing` for null."""
     x = _c(x)
     out = F.when(x.isNull(), missing)
     if zero:
         out = out.when(x == 0, zero)
     for edge, name in edges:
-        out = out.when(x < edge, name)
+        out = out.when(x <= edge if closed else x < edge, name)
     return out.otherwise(top)
 
 
@@ -243,7 +243,7 @@ def sample_tier(x: C) -> Column:
 
 
 def false_accept_tier(x: C) -> Column:
-    return bands(x, *FALSE_ACCEPT)
+    return bands(x, *FALSE_ACCEPT, closed=True)
 
 
 def rank_band(x: C) -> Column:

@@ -52,23 +52,49 @@ def confusion(neg: DataFrame, *by: str) -> DataFrame:
     return neg.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), judged.alias("judged"), wrong.alias("accepted"), rate(wrong, judged).alias("false_accept")).withColumn("tier", X.false_accept_tier("false_accept"))
 
 
-def boundary_screen(positive: DataFrame, negative: DataFrame) -> DataFrame:
+#: The least numbers of positives and judged negatives of a screen.
+SCREEN_POSITIVES, SCREEN_NEGATIVES = 300, 20
+#: Match rates from the first on are high, below the second low; false acceptance up to the third is low, above the fourth high.
+HIGH_MATCH, LOW_MATCH, LOW_ACCEPT, HIGH_ACCEPT = 0.70, 0.55, 0.10, 0.15
+
+
+def boundary_screen(positive: DataFrame, negative: DataFrame, positives: int = SCREEN_POSITIVES, negatives: int = SCREEN_NEGATIVES) -> DataFrame:
     """Per label: the positive match rate beside the false acceptance of negatives, and the screen that they fall in."""
     p = positive.select("label_id", F.col("n").alias("positives"), "match_rate")
     q = confusion(negative, "target_id").select(F.col("target_id").alias("label_id"), F.col("judged").alias("negatives"), "false_accept")
     j = p.join(q, "label_id", "full").withColumn("positives", F.coalesce("positives", F.lit(0))).withColumn("negatives", F.coalesce("negatives", F.lit(0)))
+    match, accept = F.col("match_rate"), F.col("false_accept")
     screen = (
-        F.when((F.col("positives") == 0) & (F.col("negatives") == 0), "no_data")
-        .when(F.col("positives") < 3, "few_positives")
-        .when(F.col("negatives") < 3, "few_negatives")
-        .when((F.col("match_rate") < 0.5) & (F.col("false_accept") >= 0.15), "both_sides")
-        .when(F.col("match_rate") < 0.5, "positive_side")
-        .when(F.col("false_accept") >= 0.15, "negative_side")
-        .otherwise("clear")
+        F.when(F.col("positives") < positives, "few_positives")
+        .when((F.col("negatives") < negatives) | accept.isNull(), "few_negatives")
+        .when((match >= HIGH_MATCH) & (accept <= LOW_ACCEPT), "stable")
+        .when((match < LOW_MATCH) & (accept <= LOW_ACCEPT), "narrow")
+        .when((match >= HIGH_MATCH) & (accept > HIGH_ACCEPT), "broad")
+        .when((match < LOW_MATCH) & (accept > HIGH_ACCEPT), "conflict")
+        .otherwise("minor")
     )
     return j.withColumn("screen", screen)
 
 
+def verified_negatives(scores: DataFrame, own: DataFrame, siblings: DataFrame, least: float = 0.80, n: int = 50, seed: str = "tagloom-1") -> DataFrame:
+    """(target_id, question_id, sources, score): at most n hard negatives a target label, from questions that are verified positives of its siblings.
+
+    A question is a source's verified positive if it carries the source and scored at least `least` for it, and a negative of the target if it doesn't carry that.
+    Each source offers its n questions with the smallest hashes; sources take turns, a question met again adds its source (sources joined by |, score
+    the largest), and the turns end with the n-th question."""
+    sure = own.join(scores, ["question_id", "label_id"]).where(F.col("score") >= least)
+    t = sure.join(siblings, "label_id").select("question_id", F.col("label_id").alias("source_id"), F.col("sibling_id").alias("target_id"), "score")
+    t = t.join(own.select("question_id", F.col("label_id").alias("target_id")), ["question_id", "target_id"], "left_anti")
+    h = X.hash_rank(seed, "target_id", "source_id", "question_id", sep=":")
+    offered = t.withColumn("turn", F.row_number().over(Window.partitionBy("target_id", "source_id").orderBy(h, "question_id"))).where(F.col("turn") <= n)
+    # From here on a target has at most n rows a sibling.
+    met = offered.withColumn("at", F.row_number().over(Window.partitionBy("target_id").orderBy("turn", "source_id")))
+    first = met.withColumn("first", F.row_number().over(Window.partitionBy("target_id", "question_id").orderBy("at")) == 1)
+    nth = first.withColumn("k", F.sum(F.col("first").cast("int")).over(Window.partitionBy("target_id").orderBy("at")))
+    kept = nth.where((F.col("k") < n) | ((F.col("k") == n) & F.col("first")))
+    return kept.groupBy("target_id", "question_id").agg(F.array_join(F.array_sort(F.collect_set("source_id")), "|").alias("sources"), F.max("score").alias("score"))
+
+
 def ablation(arms: DataFrame, a: str, b: str) -> DataFrame:
     """Per label, arm a against arm b on common pairs: flips of the match and changes of score. arms: (arm, question_id, label_id, score)."""
     one = lambda n, c: arms.where(F.col("arm") == n).select("question_id", "label_id", F.col("score").alias(c))
@@ -130,7 +156,8 @@ def q_bands(s, d):
 
 
 def _siblings(s, d):
-    c = table(s, d, "label_catalog").select("label_id", X.path_module("label_path").alias("m"))
+    """Labels under one parent of the taxonomy."""
+    c = table(s, d, "label_catalog").select("label_id", X.path_parent("label_path").alias("m"))
     return c.join(c.select(F.col("label_id").alias("sibling_id"), "m"), "m").where("label_id <> sibling_id").select("label_id", "sibling_id")
 
 
@@ -150,8 +177,18 @@ def q_target_confusion(s, d):
     return confusion(_negatives(s, d), "target_id")
 
 
-def q_screen(s, d):
-    return boundary_screen(coverage(pairs(s, d).join(base.legacy(s, d), ["question_id", "label_id"], "left_semi")), _negatives(s, d))
+def q_verified(s, d):
+    whole = table(s, d, "label_units").where("unit_type = 'standalone'").select("question_id")
+    return verified_negatives(pairs(s, d).join(whole, "question_id", "left_semi"), base.legacy(s, d), _siblings(s, d))
+
+
+def q_screen(s, d, *least):
+    return boundary_screen(coverage(pairs(s, d).join(base.legacy(s, d), ["question_id", "label_id"], "left_semi")), _negatives(s, d), *least)
+
+
+def q_screen_small(s, d):
+    """The screens of labels with few questions: from three positives and three negatives on."""
+    return q_screen(s, d, 3, 3)
 
 
 def q_screen_summary(s, d):
@@ -173,10 +210,9 @@ def q_repeated(s, d):
 
 
 def q_irrelevant(s, d):
-    """Share of pairs with almost no relevance, for labels where it is the largest."""
-    n = F.count(F.lit(1))
-    bad = F.count_if(F.col("score") < 0.3)
-    return pairs(s, d).groupBy("label_id").agg(n.alias("n"), bad.alias("irrelevant"), rate(bad, n).alias("share")).where("irrelevant > 0")
+    """Pairs with no relevance (zero) or almost none (tiny), and their share, of labels that have any."""
+    n, bad = F.count(F.lit(1)), F.count_if(F.col("score") < IRRELEVANT)
+    return pairs(s, d).groupBy("label_id").agg(n.alias("n"), F.count_if(F.col("score") == 0).alias("zero"), F.count_if((F.col("score") > 0) & (F.col("score") < IRRELEVANT)).alias("tiny"), bad.alias("irrelevant"), rate(bad, n).alias("share")).where("irrelevant > 0")
 
 
 def _latency(s, d):
@@ -232,8 +268,8 @@ def q_rare(s, d):
 def q_audit(s, d):
     """Positive and negative audit in one ledger: each label's category by coverage grade and screen, ordered by weight."""
     c = q_coverage(s, d).select("label_id", "n", "match_rate", "grade")
-    j = c.join(q_screen(s, d).select("label_id", "screen"), "label_id", "left").join(table(s, d, "label_catalog").select("label_id", "label_name", F.col("retired_at").isNotNull().alias("retired")), "label_id")
-    cat = F.when(F.col("retired"), "retired").when(F.col("grade") == "insufficient", "insufficient").when(F.col("screen") == "both_sides", "redefine").when(F.col("screen") == "negative_side", "sharpen").when(F.col("screen") == "positive_side", "widen").otherwise("keep")
+    j = c.join(q_screen_small(s, d).select("label_id", "screen"), "label_id", "left").join(table(s, d, "label_catalog").select("label_id", "label_name", F.col("retired_at").isNotNull().alias("retired")), "label_id")
+    cat = F.when(F.col("retired"), "retired").when(F.col("grade") == "insufficient", "insufficient").when(F.col("screen") == "conflict", "redefine").when(F.col("screen") == "broad", "sharpen").when(F.col("screen") == "narrow", "widen").when(F.col("screen").isin("few_positives", "few_negatives"), "unscreened").otherwise("keep")
     return j.select("label_id", "label_name", "n", "match_rate", cat.alias("category"))
 
 
@@ -241,19 +277,22 @@ _P = f"with {base.SCORED}, pairs as (select question_id, label_id, max(score) sc
 _COV = f"""cov as (select *, case when n < 30 then 'LT1' when n < 100 then 'LT2' when n < 300 then 'LT3' when n < 500 then 'ADEQUATE' else 'CAPPED' end tier, case when n < 30 then 'insufficient' when match_rate >= 0.8 then 'strong' when match_rate >= 0.5 then 'fair' when match_rate >= 0.2 then 'weak' else 'poor' end grade from
 (select label_id, count(*) n, count_if(score >= {base.MATCH})::bigint matched, round(count_if(score >= {base.MATCH}) / count(*), 6) match_rate, sum(round(score * 10000)::bigint)::bigint score_points, count_if(score >= 0.4 and score < 0.7)::bigint gray, count_if(score < {IRRELEVANT})::bigint irrelevant from {{}} group by 1))"""
 _BAND = "case when score = 0 then 'zero' when score < 0.4 then 'weak_related' when score < 0.7 then 'gray' when score < 0.8 then 'borderline_match' else 'high_match' end"
-_NEG = f"""{_P}, {base.LEGACY}, sib as (select a.label_id, b.label_id sibling_id from label_catalog a join label_catalog b on coalesce(string_split(a.label_path, '->')[2], 'missing') = coalesce(string_split(b.label_path, '->')[2], 'missing') and a.label_id <> b.label_id),
+_NEG = f"""{_P}, {base.LEGACY}, up as (select label_id, coalesce(array_to_string(list_slice(string_split(label_path, '->'), 1, -2), '->'), '') parent from label_catalog),
+sib as (select a.label_id, b.label_id sibling_id from up a join up b on a.parent = b.parent and a.label_id <> b.label_id),
 neg as (select l.question_id, l.label_id source_id, sibling_id target_id, p.score from legacy l join sib s on s.label_id = l.label_id left join pairs p on p.question_id = l.question_id and p.label_id = sibling_id where (l.question_id, sibling_id) not in (select question_id, label_id from legacy))"""
-_CONF = lambda by: f"select *, case when false_accept is null then null when false_accept < 0.05 then 'low' when false_accept < 0.15 then 'moderate' when false_accept < 0.3 then 'high' else 'very_high' end tier from (select {by}, count(*) tasks, count(score) judged, coalesce(count_if(score >= {base.MATCH}), 0)::bigint accepted, round(coalesce(count_if(score >= {base.MATCH}), 0) / nullif(count(score), 0), 6) false_accept from neg group by all)"
+_CONF = lambda by: f"select *, case when false_accept is null then null when false_accept <= 0.05 then 'low' when false_accept <= 0.15 then 'moderate' when false_accept <= 0.3 then 'high' else 'very_high' end tier from (select {by}, count(*) tasks, count(score) judged, coalesce(count_if(score >= {base.MATCH}), 0)::bigint accepted, round(coalesce(count_if(score >= {base.MATCH}), 0) / nullif(count(score), 0), 6) false_accept from neg group by all)"
 _SCREEN = f"""{_NEG}, own as (select p.* from pairs p join legacy l on p.question_id = l.question_id and p.label_id = l.label_id), {_COV.format('own')}, cf as ({_CONF('target_id')}),
 sc as (select coalesce(cov.label_id, target_id) label_id, coalesce(n, 0) positives, match_rate, coalesce(judged, 0) negatives, false_accept from cov full join cf on cov.label_id = target_id),
-screen as (select *, case when positives = 0 and negatives = 0 then 'no_data' when positives < 3 then 'few_positives' when negatives < 3 then 'few_negatives' when match_rate < 0.5 and false_accept >= 0.15 then 'both_sides' when match_rate < 0.5 then 'positive_side' when false_accept >= 0.15 then 'negative_side' else 'clear' end screen from sc)"""
+screen as (select *, case when positives < {{positives}} then 'few_positives' when negatives < {{negatives}} or false_accept is null then 'few_negatives' when match_rate >= 0.7 and false_accept <= 0.1 then 'stable' when match_rate < 0.55 and false_accept <= 0.1 then 'narrow'
+  when match_rate >= 0.7 and false_accept > 0.15 then 'broad' when match_rate < 0.55 and false_accept > 0.15 then 'conflict' else 'minor' end screen from sc)"""
+_SCREEN, _SMALL = (_SCREEN.replace("{positives}", p).replace("{negatives}", q) for p, q in (("300", "20"), ("3", "3")))
 _ARMS = "with e as (select retrieval_version arm, question_id, unnest(candidates) c from candidates), arms as (select arm, question_id, c.label_id label_id, max(c.score) score from e where c.label_id is not null and c.score is not null and not isnan(c.score) group by all)"
 _LATN = "(select * from vote_responses where coalesce(error, '') = '' and latency_seconds is not null)"
 _THR = f"thr as (select vote, count(*) n, count_if(k <= 50)::bigint recent, round((count_if(k <= 50) - 1) * 3600 / nullif(epoch_us(max(created_at)) / 1e6 - epoch_us(min(case when k <= 50 then created_at end)) / 1e6, 0), 4) per_hour from (select *, row_number() over (partition by vote order by created_at desc) k from (select distinct vote, seq, created_at from {_LATN})) group by 1)"
 
 QUERIES = {
     "coverage_metrics": q_coverage, "coverage_grades": q_grades, "best_score_bands": q_best, "match_rates": q_match_rates, "score_bands": q_bands, "hard_negatives": q_negatives, "confusion_pairs": q_confusion, "target_confusion": q_target_confusion,
-    "boundary_screen": q_screen, "boundary_screen_summary": q_screen_summary, "ablation_flips": q_ablation, "ablation_robust": q_repeated, "irrelevant_share": q_irrelevant, "latency_percentiles": q_latency, "order_percentiles": q_order_percentiles,
+    "boundary_screen": q_screen, "boundary_screen_small": q_screen_small, "verified_negatives": q_verified, "boundary_screen_summary": q_screen_summary, "ablation_flips": q_ablation, "ablation_robust": q_repeated, "irrelevant_share": q_irrelevant, "latency_percentiles": q_latency, "order_percentiles": q_order_percentiles,
     "throughput": q_throughput, "throughput_eta": q_eta, "run_report": q_run_report, "review_precision": q_review, "rare_labels": q_rare, "label_audit": q_audit,
 }
 ORACLES = {
@@ -266,10 +305,18 @@ ORACLES = {
     "confusion_pairs": f"{_NEG} {_CONF('source_id, target_id')}",
     "target_confusion": f"{_NEG} {_CONF('target_id')}",
     "boundary_screen": f"{_SCREEN} select * from screen",
+    "boundary_screen_small": f"{_SMALL} select * from screen",
+    "verified_negatives": f"""{_NEG}, sure as (select l.question_id, l.label_id source_id, p.score from legacy l join pairs p on p.question_id = l.question_id and p.label_id = l.label_id where p.score >= 0.8 and l.question_id in (select question_id from label_units where unit_type = 'standalone')),
+of as (select question_id, source_id, sibling_id target_id, score from sure join sib on sib.label_id = source_id where (question_id, sibling_id) not in (select question_id, label_id from legacy)),
+tu as (select *, row_number() over (partition by target_id, source_id order by sha256('tagloom-1:' || target_id || ':' || source_id || ':' || question_id), question_id) turn from of),
+po as (select *, row_number() over (partition by target_id order by turn, source_id) pos from tu where turn <= 50),
+fi as (select *, min(pos) over (partition by target_id, question_id) f from po),
+ends as (select target_id, coalesce(max(f) filter (n = 50), max(f) + 1000000000) stop from (select target_id, f, row_number() over (partition by target_id order by f) n from (select distinct target_id, f from fi)) group by 1)
+select fi.target_id, question_id, array_to_string(list_sort(list(distinct source_id)), '|') sources, max(score) score from fi join ends on ends.target_id = fi.target_id where pos <= stop group by 1, 2""",
     "boundary_screen_summary": f"{_SCREEN} select screen, count(*) labels from screen group by 1",
     "ablation_flips": f"{_ARMS} select x.label_id, count(*) n, count_if(x.score >= 0.7 and y.score < 0.7)::bigint lost, count_if(x.score < 0.7 and y.score >= 0.7)::bigint won, count_if((x.score >= 0.7) <> (y.score >= 0.7) or abs(x.score - y.score) >= {CHANGED})::bigint changed, sum(round(y.score * 10000)::bigint - round(x.score * 10000)::bigint)::bigint delta_points from arms x join arms y on x.question_id = y.question_id and x.label_id = y.label_id where x.arm = 'bm25-v1' and y.arm = 'bm25-v2' group by 1",
     "ablation_robust": f"{_ARMS}, w as (select question_id, label_id, max(score) filter (arm = 'bm25-v1') >= 0.7 a, max(score) filter (arm = 'dense-v1') >= 0.7 b, max(score) filter (arm = 'bm25-v2') >= 0.7 c, max(score) filter (arm = 'dense-v3') >= 0.7 e from arms group by all) select case when a <> b or c <> e then 'unstable' when a = c then 'same' when a then 'lost' else 'won' end kind, count(*) n, count(distinct label_id) labels from w where a is not null and b is not null and c is not null and e is not null group by 1",
-    "irrelevant_share": f"{_P} select label_id, count(*) n, count_if(score < 0.3)::bigint irrelevant, round(count_if(score < 0.3) / count(*), 6) share from pairs group by 1 having count_if(score < 0.3) > 0",
+    "irrelevant_share": f"{_P} select label_id, count(*) n, count_if(score = 0)::bigint zero, count_if(score > 0 and score < 0.1)::bigint tiny, count_if(score < 0.1)::bigint irrelevant, round(count_if(score < 0.1) / count(*), 6) share from pairs group by 1 having count_if(score < 0.1) > 0",
     "latency_percentiles": f"select vote, count(latency_seconds) n, round(avg(latency_seconds), 6) mean, quantile_disc(latency_seconds, 0.5) p50, quantile_disc(latency_seconds, 0.9) p90, quantile_disc(latency_seconds, 0.95) p95, quantile_disc(latency_seconds, 0.99) p99, max(latency_seconds) most from {_LATN} group by 1",
     "order_percentiles": "select o_orderpriority, count(o_totalprice) n, round(avg(o_totalprice), 6) mean, quantile_disc(o_totalprice, 0.25) p25, quantile_disc(o_totalprice, 0.5) p50, quantile_disc(o_totalprice, 0.75) p75, max(o_totalprice) most from orders group by 1",
     "throughput": f"with {_THR} select * from thr",
@@ -277,5 +324,5 @@ ORACLES = {
     "run_report": "select vote, count(*) n_rows, count(distinct question_id) questions, count_if(coalesce(error, '') = '')::bigint succeeded, sum(coalesce(len(choices), 0))::bigint choices, sum(coalesce(len(list_filter(choices, lambda c: c.parse_error is not null)), 0))::bigint unreadable, round(avg(latency_seconds), 6) mean_latency from vote_responses group by 1",
     "review_precision": f"with {base.VOTES}, rv as (select distinct question_id, label_id from (select question_id, unnest(labels) label_id from votes where vote like 'rev%')), m as (select vote, question_id, unnest(labels) label_id from votes where vote not like 'rev%' and question_id in (select question_id from votes where vote like 'rev%')) select vote, count(*) selected, count(r.label_id) confirmed, round(count(r.label_id) / count(*), 6) \"precision\" from m left join rv r on r.question_id = m.question_id and r.label_id = m.label_id group by 1",
     "rare_labels": f"with {base.VOTES}, {base.LEGACY}, r as (select label_id, count(*) carried from legacy group by 1 having count(*) <= 5), g as (select distinct question_id, label_id from (select question_id, unnest(labels) label_id from votes where vote not like 'rev%')) select l.label_id, any_value(carried) carried, count(*) voted, count(g.label_id) recalled from legacy l join r on r.label_id = l.label_id left join g on g.question_id = l.question_id and g.label_id = l.label_id where l.question_id in (select question_id from votes where vote not like 'rev%') group by 1",
-    "label_audit": f"{_SCREEN}, {_COV.format('pairs').replace('cov as', 'cov2 as')} select c.label_id, label_name, n, c.match_rate, case when retired_at is not null then 'retired' when grade = 'insufficient' then 'insufficient' when screen = 'both_sides' then 'redefine' when screen = 'negative_side' then 'sharpen' when screen = 'positive_side' then 'widen' else 'keep' end category from cov2 c left join screen s on s.label_id = c.label_id join label_catalog k on k.label_id = c.label_id",
+    "label_audit": f"{_SMALL}, {_COV.format('pairs').replace('cov as', 'cov2 as')} select c.label_id, label_name, n, c.match_rate, case when retired_at is not null then 'retired' when grade = 'insufficient' then 'insufficient' when screen = 'conflict' then 'redefine' when screen = 'broad' then 'sharpen' when screen = 'narrow' then 'widen' when screen in ('few_positives', 'few_negatives') then 'unscreened' else 'keep' end category from cov2 c left join screen s on s.label_id = c.label_id join label_catalog k on k.label_id = c.label_id",
 }

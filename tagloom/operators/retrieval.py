@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text as X
 from tagloom.plans import base
-from tagloom.runtime import spread, table
+from tagloom.runtime import spread, table, written
 
 K1, B, TOP = 1.5, 0.75, 20
 ROUND = 6
@@ -94,10 +94,15 @@ def bm25_topk(units: DataFrame, labels: DataFrame, k: int = TOP) -> DataFrame:
     return tokens.mapInArrow(_matrix_search(names, vocab, weights, k), "question_id string, label_id string, score double, rk long")
 
 
+def half_even(c):
+    """A score rounded as numpy does it, so that ranks don't depend on which way a score was computed."""
+    return F.rint(c * 10.0**ROUND) / 10.0**ROUND
+
+
 def bm25_join(units: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     """The same by an equi-join on tokens, for catalogues of any size."""
     hits = token_weights(units, "question_id", UNIT_FIELDS).join(index, "token")
-    score = hits.groupBy("question_id", "label_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), ROUND).alias("score")).where("score > 0")
+    score = hits.groupBy("question_id", "label_id").agg(half_even(F.sum(F.col("w") * F.col("weight"))).alias("score")).where("score > 0")
     rk = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "label_id")).cast("bigint")
     return score.withColumn("rk", rk).where(F.col("rk") <= k)
 
@@ -112,7 +117,7 @@ def _nearest(ids: list[int], queries: np.ndarray, k: int):
             keys = b.column(0).to_numpy(zero_copy_only=False)
             if not len(keys):
                 continue
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             for lo, (had, who) in best.items():
                 s = np.round(queries[lo : lo + few] @ v.T, ROUND)
@@ -138,16 +143,23 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec
     null in the vector take no part; a vector of zeros has similarity 0 to all."""
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
     vectors, queries = vectors.where(sound), queries.where(sound).dropDuplicates([key])
-    parts, count = None, queries.count()
+    count = queries.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
+    parts = None
     for n in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == n).select(key, vector).orderBy(key).collect()
         q = np.array([r[1] for r in rows], np.float64)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q
         part = vectors.select(F.col(key).cast("bigint"), vector).mapInArrow(_nearest([r[0] for r in rows], q, k), "query_id long, vec_id long, similarity double")
+        if blocks > 1:  # one block is held at a time: its result is written before the next is collected
+            part = written(_first(part, k), "nearest")
         parts = part if parts is None else parts.unionByName(part)
+    return _first(parts, k)
+
+
+def _first(near: DataFrame, k: int) -> DataFrame:
     rk = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")).cast("bigint")
-    return parts.withColumn("rk", rk).where(F.col("rk") <= k)
+    return near.drop("rk").withColumn("rk", rk).where(F.col("rk") <= k)
 
 
 def rrf(ranked: DataFrame, k: int, c: int = 60) -> DataFrame:
@@ -239,16 +251,12 @@ def q_rrf(s, d):
 
 
 def q_quota(s, d):
-    return quota_fuse(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), 3, 2, 8)
-
-
-def q_quota_original(s, d):
     """The original's quotas and cap."""
     return quota_fuse(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), 18, 7, 25)
 
 
 def q_compare(s, d):
-    return compare_rankings(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), 5)
+    return compare_rankings(_rank(s, d, "bm25-char"), _rank(s, d, "dense"), TOP)
 
 
 def q_compare_summary(s, d):
@@ -283,10 +291,6 @@ def q_source_mix(s, d):
     return _source_mix(q_quota(s, d))
 
 
-def q_source_mix_original(s, d):
-    return _source_mix(q_quota_original(s, d))
-
-
 def _source_mix(fused):
     """How many fused candidates came from sparse only, dense only and both, by stage."""
     mix = F.when(F.col("sparse_rk").isNull(), "dense").when(F.col("dense_rk").isNull(), "sparse").otherwise("both")
@@ -308,7 +312,8 @@ def _sql_tokens(e: str) -> str:
 
 
 def _sql_weights(name: str, src: str, key: str, fields) -> str:
-    parts = " union all ".join(f"select {key}, unnest({_sql_tokens(chr(114) + 'eplace(' + f + chr(44) + chr(39) + '->' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + ')' if f == 'label_path' else f)}) token, {w} w from {src}" for f, w in fields)
+    value = lambda f: f"replace({f}, '->', ' ')" if f == "label_path" else f
+    parts = " union all ".join(f"select {key}, unnest({_sql_tokens(value(f))}) token, {w} w from {src}" for f, w in fields)
     return f"{name} as (select {key}, token, sum(w)::double w from ({parts}) group by all)"
 
 
@@ -322,19 +327,13 @@ sc as (select question_id, label_id, round(sum(w * weight), {ROUND}) score from
 bm as (select question_id, label_id, score, row_number() over (partition by question_id order by score desc, label_id) rk from sc where score > 0 qualify rk <= {TOP})"""
 _R = lambda m: f"(select question_id, label_id, rk from ranked where \"method\" = '{m}')"
 _QUOTA = f"""with {base.RANKED},
-b as (select coalesce(s.question_id, e.question_id) question_id, coalesce(s.label_id, e.label_id) label_id, s.rk sparse_rk, e.rk dense_rk, coalesce(s.rk <= 3, false) f
-  from {_R('bm25-char')} s full join {_R('dense')} e on s.question_id = e.question_id and s.label_id = e.label_id),
-n as (select *, row_number() over (partition by question_id, f order by dense_rk nulls last, label_id) new, round(coalesce(1.0 / (60 + sparse_rk), 0) + coalesce(1.0 / (60 + dense_rk), 0), 8) sc from b),
-g as (select *, case when f then 1 when dense_rk is not null and new <= 2 then 2 else 3 end::bigint stage from n),
-q as (select question_id, label_id, stage, sparse_rk::int sparse_rk, dense_rk::int dense_rk, row_number() over (partition by question_id order by stage, case stage when 1 then sparse_rk when 2 then dense_rk end nulls first, sc desc, label_id) rk from g qualify rk <= 8)"""
-_QUOTA_ORIGINAL = f"""with {base.RANKED},
 b as (select coalesce(s.question_id, e.question_id) question_id, coalesce(s.label_id, e.label_id) label_id, s.rk sparse_rk, e.rk dense_rk, coalesce(s.rk <= 18, false) f
   from {_R('bm25-char')} s full join {_R('dense')} e on s.question_id = e.question_id and s.label_id = e.label_id),
 n as (select *, row_number() over (partition by question_id, f order by dense_rk nulls last, label_id) new, round(coalesce(1.0 / (60 + sparse_rk), 0) + coalesce(1.0 / (60 + dense_rk), 0), 8) sc from b),
 g as (select *, case when f then 1 when dense_rk is not null and new <= 7 then 2 else 3 end::bigint stage from n),
 q as (select question_id, label_id, stage, sparse_rk::int sparse_rk, dense_rk::int dense_rk, row_number() over (partition by question_id order by stage, case stage when 1 then sparse_rk when 2 then dense_rk end nulls first, sc desc, label_id) rk from g qualify rk <= 25)"""
 _CMP = f"""with {base.RANKED},
-a as (select question_id, list(label_id) s, arg_min(label_id, rk) t from {_R('bm25-char')} where rk <= 5 group by 1), e as (select question_id, list(label_id) s, arg_min(label_id, rk) t from {_R('dense')} where rk <= 5 group by 1),
+a as (select question_id, list(label_id) s, arg_min(label_id, rk) t from {_R('bm25-char')} where rk <= {TOP} group by 1), e as (select question_id, list(label_id) s, arg_min(label_id, rk) t from {_R('dense')} where rk <= {TOP} group by 1),
 cmp as (select question_id, a.t = e.t top1_same, len(list_intersect(a.s, e.s))::bigint overlap, round(len(list_intersect(a.s, e.s)) / (len(a.s) + len(e.s) - len(list_intersect(a.s, e.s))), 6) jaccard from a join e using (question_id))"""
 _LEG = f"with {base.LEGACY}, {base.RANKED}, hy as {_R('hybrid')}"
 
@@ -342,7 +341,6 @@ QUERIES = {
     "text_tokens": text_tokens, "token_df": token_df, "label_cards": q_label_cards, "bm25_topk": q_bm25, "bm25_candidate_counts": q_bm25_report, "cosine_topk": q_cosine,
     "rrf_fuse": q_rrf, "quota_fuse": q_quota, "fusion_source_mix": q_source_mix, "compare_rankings": q_compare, "compare_rankings_summary": q_compare_summary,
     "recall_at_k": q_recall, "recall_by_type": q_recall_by_type, "recall_by_label": q_recall_by_label, "recall_misses": q_misses, "augment_candidates": q_augment, "target_in_candidates": q_target_rank,
-    "quota_fuse_original": q_quota_original, "fusion_source_mix_original": q_source_mix_original,
 }
 ORACLES = {
     "text_tokens": f"with {_UT} select question_id, count(*) tokens, sum(w) weight from ut group by all",
@@ -363,7 +361,3 @@ ORACLES = {
     "augment_candidates": f"{_LEG}, x as (select hy.question_id, hy.label_id, rk, case when l.label_id is null then 'retrieval' else 'both' end source from hy left join legacy l on l.question_id = hy.question_id and l.label_id = hy.label_id union all select question_id, label_id, null, 'legacy' from legacy l where question_id in (select question_id from hy) and not exists (select 1 from hy where hy.question_id = l.question_id and hy.label_id = l.label_id)) select question_id, label_id, row_number() over (partition by question_id order by rk nulls last, label_id) rk, source from x",
     "target_in_candidates": f"{_LEG}, f as (select question_id, min(label_id) label_id from legacy group by 1), z as (select question_id, count(*) listed from hy group by 1) select f.question_id, f.label_id, rk is not null hit, rk::bigint rk, listed, case when rk is null then 'unknown' when rk <= 5 then '1-5' when rk <= 10 then '6-10' when rk <= 25 then '11-25' else '26+' end band from f join z using (question_id) left join hy on f.question_id = hy.question_id and f.label_id = hy.label_id",
 }
-ORACLES |= {
-    "quota_fuse_original": f"{_QUOTA_ORIGINAL} select * from q",
-    "fusion_source_mix_original": f"{_QUOTA_ORIGINAL} select stage, case when sparse_rk is null then 'dense' when dense_rk is null then 'sparse' else 'both' end mix, count(*) n from q group by all",
-}

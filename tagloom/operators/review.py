@@ -85,10 +85,6 @@ def recover(wanted: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
 # --- queries ----------------------------------------------------------------------
 
 
-def _pool(s, d):
-    return base.rankings(s, d).where("rk <= 5").select("question_id", "label_id").distinct()
-
-
 def q_label_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "label_catalog").select("label_id", label_text().alias("body"))
 
@@ -98,10 +94,6 @@ def q_unit_text(s, d):
 
 
 def q_signature(s, d):
-    return candidate_signature(_pool(s, d), "v1")
-
-
-def q_signature_all(s, d):
     return candidate_signature(S.all_pairs(s, d), "v1")
 
 
@@ -232,13 +224,11 @@ _CLIP = lambda c, n: f"case when length(coalesce({c}, '')) > {n} then left({c},
 QUERIES = {
     "dense_label_text": q_label_text, "dense_unit_text": q_unit_text, "candidate_signature": q_signature, "judge_summary": q_judge, "corrected_boundary": q_corrected, "choice_agreement": q_choices, "choice_agreement_summary": q_choice_summary, "quality_reasons": q_flags,
     "flip_direction": q_flips, "ablation_sample": q_ablation_sample, "unstable_sample": q_unstable, "paired_snapshot": q_snapshot, "next_stage": q_next_stage, "teacher_package": q_teacher, "pattern_package": q_pattern_package, "greedy_stress_sample": q_greedy, "coarse_recall": q_coarse, "set_algebra": q_set_algebra,
-    "candidate_signature_all": q_signature_all,
 }
 ORACLES = {
     "dense_unit_text": "select question_id, concat_ws(chr(10), " + ", ".join(f"'{h}' || {_CLIP(c, n)}" for h, c, n in UNIT_TEXT) + ") body from label_units",
-    "candidate_signature": f"with {base.RANKED}, p as (select distinct question_id, label_id from ranked where rk <= 5) select question_id, sha256(string_agg(label_id, chr(10) order by sha256('v1:' || question_id || ':' || label_id), label_id)) signature from p group by 1",
     "judge_summary": f"{_JUDGE} select * from judge",
-    "corrected_boundary": f"{_JUDGE}, cf as ({Q._CONF('target_id')}) select *, case when corrected is null then null when corrected < 0.05 then 'low' when corrected < 0.15 then 'moderate' when corrected < 0.3 then 'high' else 'very_high' end tier from (select j.target_id, target_too_broad, judged - accepted rejected, round(target_too_broad / nullif(judged - accepted + target_too_broad, 0), 6) corrected from judge j join cf on cf.target_id = j.target_id)",
+    "corrected_boundary": f"{_JUDGE}, cf as ({Q._CONF('target_id')}) select *, case when corrected is null then null when corrected <= 0.05 then 'low' when corrected <= 0.15 then 'moderate' when corrected <= 0.3 then 'high' else 'very_high' end tier from (select j.target_id, target_too_broad, judged - accepted rejected, round(target_too_broad / nullif(judged - accepted + target_too_broad, 0), 6) corrected from judge j join cf on cf.target_id = j.target_id)",
     "choice_agreement": f"with {_CH} select * from ch",
     "choice_agreement_summary": f"with {_CH} select vote, n, count(*) n_rows, count_if(forms = 1)::bigint identical, sum(round(mean_jaccard * 1000000)::bigint)::bigint jaccard_millionths from ch where n > 1 group by all",
     "quality_reasons": f"with {base.VOTES}, v as (select question_id, count(distinct labels) forms, max(len(labels)) most from votes where vote in {V._IN(base.MODEL_VOTES)} group by 1), r as (select u.question_id, array_to_string(list_sort(list_filter([case when flags.parent_context_missing then 'parent_context_missing' end, case when flags.image_context_missing then 'image_context_missing' end, case when trim(coalesce(stem, ''), ' ') = '' then 'blank_stem' end, case when trim(coalesce(analysis, ''), ' ') = '' then 'blank_analysis' end, case when forms > 1 then 'votes_differ' end, case when most = 0 then 'no_label' end], lambda x: x is not null)), '|') reasons from label_units u left join v on v.question_id = u.question_id) select * from r where reasons <> ''",
@@ -252,4 +242,7 @@ ORACLES = {
     "pattern_package": f"{V._CUBE}, p as (select *, question_id || '::' || label_id pair_id from cube6), r as (select *, row_number() over (partition by q, d order by sha256('pattern' || chr(0) || pair_id), pair_id) pick from p qualify pick <= 10) select q, d, pair_id, pick, left(coalesce(stem, ''), 80) head from r left join label_units u on u.question_id = r.question_id",
 }
 ORACLES["dense_label_text"] = "select label_id, concat_ws(chr(10), " + ", ".join(f"'{h}' || left(replace(coalesce({c}, ''), {chr(39)}->{chr(39)}, {chr(39)}{'@' if c == 'label_path' else '->'}{chr(39)}), {n})" for h, c, n in LABEL_TEXT) + ") body from label_catalog"
-ORACLES["candidate_signature_all"] = f"with {base.SCORED}, p as (select distinct question_id, label_id from scored) select question_id, sha256(string_agg(label_id, chr(10) order by sha256('v1:' || question_id || ':' || label_id), label_id)) signature from p group by 1"
+ORACLES["candidate_signature"] = f"with {base.SCORED}, p as (select distinct question_id, label_id from scored) select question_id, sha256(string_agg(label_id, chr(10) order by sha256('v1:' || question_id || ':' || label_id), label_id)) signature from p group by 1"
+_COARSE = f"""with {base.SCORED}, p as (select distinct question_id, label_id from scored),
+k as (select *, row_number() over (partition by question_id order by sha256('v1:' || question_id || ':' || label_id), label_id) n, ('0x' || left(sha256('coarse:' || question_id || '::' || label_id), 8))::bigint / 4294967296.0::double score from p)"""
+ORACLES["coarse_recall"] = f"{_COARSE} select question_id, array_to_string(list_sort(list(label_id)), '|') selected, 0::bigint unknown, false need_expand from k where score >= 0.5 group by 1"

@@ -82,28 +82,40 @@ def proportional(sizes: DataFrame, by: str, count: str, total: int) -> DataFrame
 def char_batches(df: DataFrame, group: str, order: str, size: str, most_rows: int, most_chars: int) -> DataFrame:
     """(group, order, size, batch): rows of each group in order, a new batch begun when rows or characters would go over.
 
-    A running sum with resets is sequential within a group, so it runs group by group in Python."""
-    fields = [f for f in df.schema.fields if f.name in (group, order, size)]
+    A running sum with resets is sequential within a group: it is carried along partitions sorted by group and order, so no group is held in
+    memory, however large. A null size counts as 0; the largest group's rows pass through one task."""
+    names = [c for c in df.columns if c in (group, order, size)]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order).reset_index(drop=True)
-        batch, rows, chars, out = 0, 0, 0, []
-        for n in p[size]:
-            if rows and (rows >= most_rows or chars + n > most_chars):
-                batch, rows, chars = batch + 1, 0, 0
-            rows, chars = rows + 1, chars + n
-            out.append(batch)
-        return p.assign(batch=out)
+    def run(frames):
+        now, batch, rows, chars = object(), 0, 0, 0
+        for f in frames:
+            out = []
+            for g, n in zip(f[group], f[size].fillna(0)):
+                if g != now:
+                    now, batch, rows, chars = g, 0, 0, 0
+                elif rows >= most_rows or chars + n > most_chars:
+                    batch, rows, chars = batch + 1, 0, 0
+                rows, chars = rows + 1, chars + n
+                out.append(batch)
+            yield f.assign(batch=pd.Series(out, f.index, "int64"))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", batch long"
-    return df.select(*[f.name for f in fields]).groupBy(group).applyInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names) + ", batch long"
+    return df.select(*names).where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
+
+
+def _few(df: DataFrame, parts: list[str], k: int) -> DataFrame:
+    """The first k rows of each part by hash; cut to k before the shuffle."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy("_h", "_key"))).where(F.col("_n") <= k).drop("_n")
 
 
 def pilot(df: DataFrame, key: str, kind: str, stratum: str, must: str, per_stratum: int, shares: dict[str, float], total: int, seed: str = SEED) -> DataFrame:
     """(key, reason): mandatory rows, then per_stratum rows of each stratum, then rows of each kind up to its share, then any, up to total.
 
-    One pass: each row gets the earliest stage that takes it; the stages are windows over hash order."""
-    r = df.withColumn("_h", X.hash_rank(seed, key)).withColumn("_m", F.coalesce(F.expr(must), F.lit(False)))
+    Each row gets the earliest stage that takes it; the stages are windows over hash order. Only rows that can be taken get there: of each
+    stratum the first per_stratum, and of each kind the first 2 * total (of which the strata have less than total, or nothing is left to fill)."""
+    r = df.select(F.col(key).alias("_key"), F.col(kind).alias("_kind"), F.col(stratum).alias("_stratum"), F.coalesce(F.expr(must), F.lit(False)).alias("_m")).withColumn("_h", X.hash_rank(seed, "_key"))
+    r = _few(r, ["_stratum", "_m"], per_stratum).unionByName(_few(r, ["_kind", "_m"], 2 * total)).distinct()
+    key, kind, stratum, name_of = "_key", "_kind", "_stratum", key
     r = r.withColumn("_s", F.row_number().over(Window.partitionBy(stratum, "_m").orderBy("_h", key)))
     r = r.withColumn("_stage", F.when(F.col("_m"), 1).when(F.col("_s") <= per_stratum, 2).otherwise(3))
     r = r.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy("_stage", "_h", key)))
@@ -113,7 +125,7 @@ def pilot(df: DataFrame, key: str, kind: str, stratum: str, must: str, per_strat
     r = r.withColumn("_stage", F.when(F.col("_stage") < 3, F.col("_stage")).when(F.col("_k") <= room, 3).otherwise(4))
     # The first `total` rows by (stage, hash) come from a top-k, not from one task's window over all rows.
     top = r.orderBy("_stage", "_h", key).limit(total)
-    return top.select(key, F.element_at(F.array(*map(F.lit, ["mandatory", "stratum", "kind", "fill"])), F.col("_stage")).alias("reason"))
+    return top.select(F.col(key).alias(name_of), F.element_at(F.array(*map(F.lit, ["mandatory", "stratum", "kind", "fill"])), F.col("_stage")).alias("reason"))
 
 
 def greedy_rare(pool: DataFrame, key: str, tags: str, k: int, bound: int = 20_000, seed: str = SEED) -> list[str]:
@@ -276,4 +288,9 @@ ORACLES = {
     "fixed_shards": "select (row_number() over (order by question_id) - 1) // 1000 shard, question_id from label_units",
     "pilot_sample": f"with u as (select question_id, unit_type, coalesce(metadata['difficulty'], 'none') difficulty, coalesce(flags.parent_context_missing or flags.image_context_missing, false) m, {_H('question_id')} h from label_units), a as (select *, case when m then 1 when row_number() over (partition by difficulty, m order by h, question_id) <= 20 then 2 else 3 end st from u), b as (select *, case when st < 3 then st when row_number() over (partition by unit_type order by st, h, question_id) <= case unit_type when 'sub_question' then 220 when 'standalone' then 160 when 'orphan_sub_question' then 20 else 0 end then 3 else 4 end st2 from a) select question_id, ['mandatory', 'stratum', 'kind', 'fill'][st2] reason from b order by st2, h, question_id limit 400",
 }
+ORACLES["char_budget_batches"] = f"""with recursive {base.LEGACY}, u as (select question_id, length(coalesce(stem, '')) + length(coalesce(options, '')) chars from label_units),
+n as (select label_id, question_id, chars, row_number() over (partition by label_id order by question_id) i from legacy join u using (question_id)),
+r as (select label_id, i, 0 batch, 1 k, chars total from n where i = 1
+  union all select n.label_id, n.i, case when k >= 20 or total + chars > 6000 then batch + 1 else batch end, case when k >= 20 or total + chars > 6000 then 1 else k + 1 end, case when k >= 20 or total + chars > 6000 then chars else total + chars end from r join n on n.label_id = r.label_id and n.i = r.i + 1)
+select label_id, question_id, chars, batch::bigint batch from r join n using (label_id, i)"""
 ORACLES["fixed_shards"] = "with r as (" + ORACLES["fixed_shards"] + ") select shard, count(*) n, min(question_id) first_id, max(question_id) last_id from r group by 1"

@@ -1,7 +1,8 @@
 """External scorers behind one interface: batches of tasks in, scores or label sets out, with resume, retries and adaptive splits.
 
 A scorer is any object with score(list[dict]) -> list[dict]; it is pickled to the tasks. The number of partitions bounds how many batches are in
-flight. A batch that fails is halved until single tasks fail, whose error is kept in their row; a failed task never fails the job."""
+flight. A batch that is refused for what it holds (Refused, ValueError or an error with status 400) is halved until single tasks are refused; any
+other failure, such as a dead endpoint, would meet the halves too and is kept in all rows of the batch. A failed task never fails the job."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ class Scorer(Protocol):
     def score(self, tasks: list[dict]) -> list[dict]: ...
 
 
+class Refused(ValueError):
+    """The scorer can't take this batch or its reply doesn't fit it; parts of it may do."""
+
+
 class HashScorer:
     """An offline stand-in for a model: the score is the first 32 bits of the task's hash; selected are the ids that reach a share of it."""
 
@@ -40,23 +46,33 @@ class HashScorer:
 
 
 class ChatScorer:
-    """A model behind `send(endpoint, payload) -> text`, which the caller provides. Endpoints take turns; a failure waits longer each
-    time, with jitter, and goes to the next endpoint; the reply must hold one JSON object."""
+    """A model behind `send(endpoint, payload) -> text`, which the caller provides. A task stays with one endpoint, its partition's, so that an
+    endpoint has ceil(in_flight / endpoints) requests in flight at most; a failure waits longer each time, with jitter, and goes to the next
+    endpoint. rate bounds the requests a second of all tasks together: each of the in_flight tasks keeps its share of it. The reply must hold one JSON object."""
 
-    def __init__(self, send: Callable[[str, dict], str], endpoints: list[str], render: Callable[[dict], dict], tries: int = 3, wait: float = 1.0, pace: float = 0.0):
-        self.send, self.endpoints, self.render, self.tries, self.wait, self.pace = send, endpoints, render, tries, wait, pace
-        self.turn = 0
+    def __init__(self, send: Callable[[str, dict], str], endpoints: list[str], render: Callable[[dict], dict], tries: int = 3, wait: float = 1.0, rate: float | None = None, in_flight: int = 1):
+        self.send, self.endpoints, self.render, self.tries, self.wait = send, endpoints, render, tries, wait
+        self.gap = in_flight / rate if rate else 0.0
+        self.turn, self.due = None, 0.0
+
+    def paced(self) -> None:
+        now = time.monotonic()
+        if self.gap and now < self.due:
+            time.sleep(self.due - now)
+        self.due = max(now, self.due) + self.gap
 
     def one(self, task: dict) -> dict:
+        if self.turn is None:
+            self.turn = context.partitionId() if (context := TaskContext.get()) else 0
         problem = None
         for n in range(self.tries):
-            time.sleep(self.pace)
+            self.paced()
             endpoint = self.endpoints[self.turn % len(self.endpoints)]
-            self.turn += 1
             try:
                 return {**json_object(self.send(endpoint, self.render(task))), "attempts": n + 1}
             except Exception as e:  # noqa: BLE001
                 problem = e
+                self.turn += 1
                 if n + 1 < self.tries:
                     time.sleep(self.wait * 2**n * random.uniform(0.8, 1.2))
         return {"error": f"{type(problem).__name__}: {problem}", "attempts": self.tries}
@@ -83,15 +99,19 @@ def json_object(reply: str) -> dict:
     return value
 
 
+def _splits(e: Exception) -> bool:
+    return isinstance(e, ValueError) or getattr(e, "status", None) == 400
+
+
 def _attempt(scorer: Scorer, tasks: list[dict], depth: int = 0) -> list[dict]:
     try:
         out = scorer.score(tasks)
         if len(out) != len(tasks):
-            raise ValueError(f"{len(out)} results for {len(tasks)} tasks")
+            raise Refused(f"{len(out)} results for {len(tasks)} tasks")
         return [{"attempts": depth + 1, **o} for o in out]
     except Exception as e:  # noqa: BLE001
-        if len(tasks) == 1:
-            return [{"error": f"{type(e).__name__}: {e}", "attempts": depth + 1}]
+        if len(tasks) == 1 or not _splits(e):
+            return [{"error": f"{type(e).__name__}: {e}", "attempts": depth + 1} for _ in tasks]
         half = len(tasks) // 2
         return _attempt(scorer, tasks[:half], depth + 1) + _attempt(scorer, tasks[half:], depth + 1)
 
@@ -143,7 +163,7 @@ def decode(results: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def rerank(pool: DataFrame, scorer: Scorer, k: int) -> DataFrame:
-    """(question_id, label_id, score, rk): the pool's pairs by score, then id."""
+    """(question_id, label_id, score, rk): the pool's first k pairs of each question by score, then id."""
     tasks = pool.select("question_id", "label_id").distinct().withColumn("task_id", F.concat("question_id", F.lit("::"), "label_id"))
     s = run(tasks, scorer).where("error is null").withColumn("score", F.round("score", 6))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "label_id")
@@ -171,10 +191,6 @@ def exclusions(selected: DataFrame, rule_table: DataFrame) -> DataFrame:
 # --- queries ----------------------------------------------------------------------
 
 
-def _pool(s: SparkSession, d: str) -> DataFrame:
-    return base.rankings(s, d).where("rk <= 5").select("question_id", "label_id").distinct()
-
-
 def all_pairs(s: SparkSession, d: str) -> DataFrame:
     """Every scored pair of question and label, whatever its rank."""
     return base.scored(s, d).select("question_id", "label_id").distinct()
@@ -191,18 +207,10 @@ def _stub(pairs):
 
 
 def q_stub(s, d):
-    return _stub(_pool(s, d))
-
-
-def q_stub_all(s, d):
     return _stub(all_pairs(s, d))
 
 
 def q_rerank(s, d):
-    return rerank(_pool(s, d), HashScorer(), 10)
-
-
-def q_rerank_union(s, d):
     return rerank(_union(s, d), HashScorer(), UNION)
 
 
@@ -212,18 +220,10 @@ def _accepted(pairs):
 
 
 def q_threshold(s, d):
-    return _accepted(_pool(s, d))
-
-
-def q_threshold_all(s, d):
     return _accepted(all_pairs(s, d))
 
 
 def q_codes(s, d):
-    return anonymous(_pool(s, d), "v1")
-
-
-def q_codes_all(s, d):
     return anonymous(all_pairs(s, d), "v1")
 
 
@@ -250,26 +250,20 @@ def q_exclusions(s, d):
     return exclusions(own, own.join(gone, "label_id", "left_semi").withColumn("action", F.lit("remove")))
 
 
-_POOL = f"with {base.RANKED}, pool as (select distinct question_id, label_id from ranked where rk <= 5), sc as (select *, question_id || '::' || label_id task_id, ('0x' || left(sha256('stub:' || question_id || '::' || label_id), 8))::bigint / 4294967296.0::double score from pool)"
 _SCORE = "sc as (select *, question_id || '::' || label_id task_id, ('0x' || left(sha256('stub:' || question_id || '::' || label_id), 8))::bigint / 4294967296.0::double score from pool)"
 _ALL = f"with {base.SCORED}, pool as (select distinct question_id, label_id from scored), {_SCORE}"
 _UNION = f"with {base.RANKED}, pool as (select distinct question_id, label_id from ranked where \"method\" in ('bm25-char', 'dense') and rk <= {UNION}), {_SCORE}"
 _OWN = "own as (select distinct question_id, trim(r, ' ') label_id from (select question_id, unnest(legacy_knw_ids) r from label_units) where trim(r, ' ') <> '')"
 QUERIES = {"stub_scorer": q_stub, "rerank_pool": q_rerank, "binary_threshold": q_threshold, "anonymous_codes": q_codes, "resume_tasks": q_resume, "experiment_conditions": q_conditions, "definition_verifier": q_verify, "audited_exclusions": q_exclusions}
-QUERIES |= {"stub_scorer_all": q_stub_all, "rerank_union": q_rerank_union, "binary_threshold_all": q_threshold_all, "anonymous_codes_all": q_codes_all}
 ORACLES = {
-    "stub_scorer": f"{_POOL} select task_id, round(score, 6) score, true ok from sc",
-    "rerank_pool": f"{_POOL} select question_id, label_id, round(score, 6) score, row_number() over (partition by question_id order by round(sc.score, 6) desc, label_id) rk from sc qualify rk <= 10",
-    "binary_threshold": f"{_POOL} select label_id, count(*) n, count_if(round(score, 6) >= {base.MATCH})::bigint accepted from sc group by 1",
-    "anonymous_codes": f"{_POOL} select question_id, label_id, 'C' || case when k < 10 then '0' else '' end || k code from (select *, row_number() over (partition by question_id order by sha256('v1:' || question_id || ':' || label_id), label_id) k from pool)",
     "resume_tasks": "select distinct vote || ':' || question_id task_id from vote_responses where question_id is not null and vote is not null and (vote, question_id) not in (select vote, question_id from vote_responses where coalesce(error, '') = '' and question_id is not null and vote is not null)",
     "experiment_conditions": "select distinct question_id || '@' || c task_id, c \"condition\", case c when 'cold' then 0.0 else 0.7 end::double temperature, case c when 'cold' then 1 else 5 end::int choices from vote_responses, (select unnest(['cold', 'warm']) c)",
     "definition_verifier": f"with {base.LEGACY}, {base.SCORED}, c as (select question_id, label_id, max(score) >= {base.MATCH} m from scored group by all), j as (select l.*, coalesce(m, false) kept from legacy l left join c on c.question_id = l.question_id and c.label_id = l.label_id) select *, not bool_or(kept) over (partition by question_id) all_rejected from j",
     "audited_exclusions": f"with {_OWN}, j as (select *, label_id in (select label_id from label_catalog where retired_at is not null) removed from own) select *, bool_or(removed) over (partition by question_id) no_training from j",
 }
 ORACLES |= {
-    "stub_scorer_all": f"{_ALL} select task_id, round(score, 6) score, true ok from sc",
-    "rerank_union": f"{_UNION} select question_id, label_id, round(score, 6) score, row_number() over (partition by question_id order by round(sc.score, 6) desc, label_id) rk from sc qualify rk <= {UNION}",
-    "binary_threshold_all": f"{_ALL} select label_id, count(*) n, count_if(round(score, 6) >= {base.MATCH})::bigint accepted from sc group by 1",
-    "anonymous_codes_all": f"{_ALL} select question_id, label_id, 'C' || case when k < 10 then '0' else '' end || k code from (select *, row_number() over (partition by question_id order by sha256('v1:' || question_id || ':' || label_id), label_id) k from pool)",
+    "stub_scorer": f"{_ALL} select task_id, round(score, 6) score, true ok from sc",
+    "rerank_pool": f"{_UNION} select question_id, label_id, round(score, 6) score, row_number() over (partition by question_id order by round(sc.score, 6) desc, label_id) rk from sc qualify rk <= {UNION}",
+    "binary_threshold": f"{_ALL} select label_id, count(*) n, count_if(round(score, 6) >= {base.MATCH})::bigint accepted from sc group by 1",
+    "anonymous_codes": f"{_ALL} select question_id, label_id, 'C' || case when k < 10 then '0' else '' end || k code from (select *, row_number() over (partition by question_id order by sha256('v1:' || question_id || ':' || label_id), label_id) k from pool)",
 }

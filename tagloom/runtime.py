@@ -14,8 +14,10 @@ HOT_KEYS = 512
 SALTS = 32
 
 
-def session(app: str = "tagloom", cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster use the session that is there."""
+def session(app: str = "tagloom", cores: str = "*", shuffle: int = 8, memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; on a cluster use the session that is there.
+
+    folder: what tables are written to between steps; a temporary one if it isn't given."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,6 +25,7 @@ def session(app: str = "tagloom", cores: str = "*", shuffle: int = 8, memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="tagloom-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -33,11 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. It is the session's spark.checkpoint.dir; where none is set (tests), one is made here."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where none is set, a local session gets one; on a cluster that is an error,
+    since a folder of one machine is none of the others'."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
         conf = jsc.getCheckpointDir().get()
     return conf.rstrip("/")

@@ -9,9 +9,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.runtime import shared_folder
 
+BATCH = "stream_batch_no"  # the column that names a batch's folder
+
 
 def stream(spark: SparkSession, folder: str, name: str, schema, files: int = 16) -> DataFrame:
     """A table's Parquet as a stream: a folder of files, or one file."""
@@ -50,14 +53,15 @@ def drain(streaming: DataFrame, mode: str = "complete") -> DataFrame:
 
     def put(batch: DataFrame, n: int) -> None:
         # The batch number is the folder, so a batch that is run again after a failure replaces itself.
-        batch.write.mode("overwrite").parquet(f"{base}/out/n={n}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/{BATCH}={n}")
 
     q = streaming.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = spark.read.schema(streaming.schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    done = spark.read.schema(T.StructType([*streaming.schema.fields, T.StructField(BATCH, T.LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
     if mode == "complete":
-        return spark.read.schema(streaming.schema).parquet(f"{base}/out/n={last}")
+        # The last batch that was written; one without data writes nothing.
+        last = done.agg(F.max(BATCH).alias("n")).first().n
+        done = done.where(F.lit(False) if last is None else F.col(BATCH) == last)
     return done.select(*streaming.columns)
 
 
@@ -78,8 +82,9 @@ def q_counters(s, d):
 
 
 def q_tumbling(s, d):
+    """Windows that the watermark has closed, in append mode: state is dropped behind it, and windows that may still get rows are not given yet."""
     e = _events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return drain(windowed(e, "ts", ["event_type"], "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return drain(windowed(e, "ts", ["event_type"], "1 day"), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _OK = "(select * from events where event_type <> 'error')"
@@ -87,5 +92,5 @@ QUERIES = {"stream_latest_success": q_latest, "stream_counters": q_counters, "st
 ORACLES = {
     "stream_latest_success": f"select user_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(ts, (ts, event_id)) ts, arg_max(event_type, (ts, event_id)) event_type, arg_max(\"value\", (ts, event_id)) \"value\" from {_OK} group by 1",
     "stream_counters": "select user_id, count(*) n, count_if(event_type = 'error')::bigint failed from events group by 1",
-    "stream_windows": "select date_trunc('day', ts)::timestamp start, event_type, count(*) n, round(sum(\"value\"), 4) total from events group by all",
+    "stream_windows": "select date_trunc('day', ts)::timestamp start, event_type, count(*) n, round(sum(\"value\"), 4) total from events group by all having date_trunc('day', any_value(ts)) + interval 1 day <= (select max(ts) - interval 1 hour from events)",
 }

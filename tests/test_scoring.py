@@ -9,7 +9,7 @@ class Picky:
 
     def score(self, tasks):
         if len(tasks) > 4 or any(t["task_id"] == "13" for t in tasks):
-            raise RuntimeError("too large" if len(tasks) > 4 else "bad task")
+            raise S.Refused("too large" if len(tasks) > 4 else "bad task")
         return [{"score": 0.5, "selected": ["C01"]} for _ in tasks]
 
 
@@ -23,6 +23,42 @@ def test_batches_are_halved_and_failures_isolated(spark):
     assert r["13"].score is None and "bad task" in r["13"].error and r["1"].selected == ["C01"]
 
 
+class Dead:
+    """An endpoint that is down: the batch is not taken apart."""
+
+    def score(self, tasks):
+        if len(tasks) < 8:
+            return [{"score": 0.1, "selected": []} for _ in tasks]
+        raise ConnectionError("down")
+
+
+def test_a_dead_endpoint_is_called_once_a_batch(spark):
+    r = S.run(tasks(spark, 8).coalesce(1), Dead(), batch=8).collect()
+    assert all("ConnectionError" in x.error and x.attempts == 1 for x in r) and len(r) == 8
+
+
+def test_a_bad_request_is_halved():
+    class Http(Exception):
+        status = 400
+
+    class One:
+        def score(self, ts):
+            if len(ts) > 1:
+                raise Http("too long")
+            return [{"score": 1.0, "selected": []}]
+
+    assert [x["score"] for x in S._attempt(One(), [{}] * 4)] == [1.0] * 4
+
+
+def test_rate_is_shared(monkeypatch):
+    slept = []
+    clock = iter([0.0, 0.0, 0.0])
+    monkeypatch.setattr(S.time, "monotonic", lambda: next(clock))
+    monkeypatch.setattr(S.time, "sleep", slept.append)
+    S.ChatScorer(lambda e, p: "{}", ["a"], lambda t: t, rate=2.0, in_flight=4).score([{}, {}, {}])
+    assert slept == [2.0, 4.0]
+
+
 def test_empty(spark):
     assert S.run(tasks(spark, 0), Picky()).count() == 0
 

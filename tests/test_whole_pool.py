@@ -14,13 +14,13 @@ def pairs(spark, path):
 
 def test_all_candidates_are_scored_coded_and_signed(spark, tmp_path):
     d = pairs(spark, tmp_path)
-    assert S.q_stub_all(spark, d).count() == S.q_codes_all(spark, d).count() == 102
-    assert S.q_threshold_all(spark, d).agg({"n": "sum"}).first()[0] == 102
-    assert len({x.signature for x in R.q_signature_all(spark, d).collect()}) == 2
+    assert S.q_stub(spark, d).count() == S.q_codes(spark, d).count() == 102
+    assert S.q_threshold(spark, d).agg({"n": "sum"}).first()[0] == 102
+    assert len({x.signature for x in R.q_signature(spark, d).collect()}) == 2
 
 
 def test_rerank_takes_the_union_of_thirty(spark, tmp_path):
-    r = S.q_rerank_union(spark, pairs(spark, tmp_path)).where("question_id = 'q'").collect()
+    r = S.q_rerank(spark, pairs(spark, tmp_path)).where("question_id = 'q'").collect()
     assert {x.label_id for x in r} == {f"{m}{k}" for m in "sd" for k in range(8)} and {x.rk for x in r} == set(range(1, 17))
 
 
