@@ -88,3 +88,35 @@ def test_empty_and_long(spark):
     assert run(spark, [], [(1, t)]) == {} and run(spark, [(1, t)], []) == {}
     long = word(rnd, 300_000)
     assert run(spark, [(1, long + t)], [(5, t), (6, "短"), (7, None)])[1, 5].stretch >= 100
+
+
+def test_recall_of_edited_passages_end_to_end():
+    """What the docstring promises: passages of SURE characters with up to EDITS edits, and of 50 with one, wherever the edits are."""
+    rnd = random.Random(12)
+    word = lambda n: "".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(n))
+    items = [word(rnd.randrange(120, 400)) for _ in range(200)]
+    index = M.Index(list(range(len(items))), items)
+
+    def edited(t, n):
+        t = list(t)
+        for k in sorted(rnd.sample(range(len(t)), n), reverse=True):
+            t[k : k + rnd.choice([0, 1, 1])] = rnd.choice(["", word(1), word(1)])
+        return "".join(t)
+
+    for size, edits in [(M.SURE, e) for e in range(M.EDITS + 1)] + [(50, 0), (50, 1), (120, M.EDITS)]:
+        texts = []
+        for i in range(200):
+            at = rnd.randrange(len(items[i]) - size + 1)
+            texts.append(word(90) + edited(items[i][at : at + size], edits) + word(90))
+        found = {(d, i) for d, i, *_ in index.search(texts)}
+        recall = sum((k, k) in found for k in range(200)) / 200
+        assert recall >= (0.9 if edits else 1.0), (size, edits, recall)
+
+
+def test_a_window_of_all_items_is_indexed_once():
+    head = "".join(chr(0x4E00 + k) for k in range(60))
+    items = [head + "".join(chr(0x5E00 + 40 * i + k) for k in range(40)) for i in range(50)]
+    index = M.Index(list(range(50)), items)
+    assert len(index.first) - 1 <= index.windows.sum() - 2 * 49
+    got = index.search(["前" * 40 + items[7] + "后" * 40])
+    assert {i for _, i, *_ in got} == set(range(50)) and {s for _, i, s, *_ in got if i == 7} == {100} and {s for _, i, s, *_ in got if i != 7} == {60}
