@@ -16,10 +16,10 @@ from collections import defaultdict
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.runtime import spread, table
+from tagloom.runtime import spread, table, written
 
 CAPACITY, SHARD = 2048, 10_000
 #: The folder of the public tokenizers' vocabulary files and the one used; both are parameters.
@@ -165,5 +165,26 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return bins.agg(F.count(F.lit(1)).alias("sequences"), F.sum("used").alias("tokens"), F.sum(F.lit(CAPACITY) - F.col("used")).alias("unused"), F.sum("pieces").alias("pieces"))
 
 
-QUERIES = {"p8_packing": p8_packing, "p8_fill": p8_fill}
-ORACLES: dict[str, str] = {}
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packing, counted over all documents and sequences: each document placed with all its tokens and without gaps, nothing cut that fits,
+    no sequence overfull or with pieces that overlap, and at most a hundredth of the sequences (and one a shard) more than the tokens need."""
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    sizes = written(token_counts(docs, "doc_id", "text"), "sizes")
+    rows = written(packed(sizes, n), "packed")
+    own = sizes.groupBy("id").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.lag(F.col("start") + F.col("n_tokens")).over(Window.partitionBy("id").orderBy("piece")), F.lit(0))
+    pieces = rows.withColumn("gap", F.col("start") != before).groupBy("id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.max("gap").alias("gap"))
+    j = own.join(pieces, own["id"].eqNullSafe(pieces["id"]), "full")
+    per_doc = j.agg(F.count(pieces["pieces"]).alias("placed"), F.count_if(~F.col("n").eqNullSafe(F.col("placed"))).alias("wrong_tokens"), F.count_if(F.coalesce("gap", F.lit(False))).alias("gaps"), F.count_if((F.col("n") <= CAPACITY) & (F.col("pieces") > 1)).alias("needless_cuts"))
+    behind = F.coalesce(F.lag(F.col("offset") + F.col("n_tokens")).over(Window.partitionBy("bin").orderBy("offset", "n_tokens")), F.lit(0))
+    bins = rows.withColumn("wrong", F.col("offset") != behind).where("n_tokens > 0").groupBy("bin").agg(F.sum("n_tokens").alias("used"), F.max("wrong").alias("wrong"))
+    least = F.ceil(F.sum("used") / CAPACITY)
+    per_bin = bins.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), F.count_if("wrong").alias("overlapping"), (F.count(F.lit(1)) <= least * 1.01 + max(1, -(-n // SHARD))).alias("well_filled"))
+    of_bins = per_bin.first().asDict()  # one row
+    return per_doc.select(F.lit(n).cast("bigint").alias("documents"), *per_doc.columns, *(F.lit(v).cast("boolean" if c == "well_filled" else "bigint").alias(c) for c, v in of_bins.items()))
+
+
+QUERIES = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p8_invariants": p8_invariants}
+#: The invariants as constants: only the number of documents is the table's.
+ORACLES = {"p8_invariants": "select count(*) documents, count(*) placed, 0::bigint wrong_tokens, 0::bigint gaps, 0::bigint needless_cuts, 0::bigint overfull, 0::bigint overlapping, true well_filled from documents"}

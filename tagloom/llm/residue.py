@@ -3,7 +3,7 @@
 Passages (lines, long ones in pieces) are bags of features: tokens, pairs of neighbouring tokens, the shape around each symbol, and signs of
 filler (repetition, no function words). A naive
 Bayes model is learnt from positive and unlabelled passages by expectation-maximization: the positives are the trusted records below
-(messages and slots, written down as fixed values), the unlabelled ones a bounded sample of the corpus' own passages (SAMPLE distinct
+(messages, filler and slots, written down as fixed values by family), the unlabelled ones a bounded sample of the corpus' own passages (SAMPLE distinct
 passages at most, chosen by hash). Each round gives every unlabelled passage its probability of being residue and
 re-estimates both classes; a few trusted sentences of content that only speaks of errors, scripts or templates are held on the content side. Then
 every passage of every document is scored by its sum of log-odds, by its best stretch of neighbouring tokens, from which FREE is taken off unless it
@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from bisect import bisect_left
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,10 @@ FREE = 2.5  # what a stretch without a slot's sign must have above the threshold
 MEMO = 2_000_000  # tokens in context whose value a task remembers, at most
 NEW = -1.0  # log-odds of a feature that the model hasn't seen
 
-# Trusted records. Messages of error, missing, blocked and loading pages and of failed programs, and notices.
-MESSAGES = """\
+# Trusted records by family. Messages of error, missing, blocked and loading pages and of failed programs, notices, filler and test
+# text. They are common wordings of such pages, not taken from a corpus that is to be scored.
+RECORDS = """\
+## status
 404 Not Found
 Error 404: the requested page could not be found
 HTTP Error 403
@@ -57,40 +60,94 @@ Internal Server Error
 Bad Gateway
 Service Unavailable
 Gateway Timeout
+错误码：404
+错误码：500
+错误代码 502
+## permission
 Access denied
 Permission denied
 You do not have permission to view this page.
 You may not have permission to access this item.
+没有权限查看此内容
+没有权限访问该页面
+## missing
 This page isn't available right now
 This page could not be displayed
 Sorry, the page you are looking for does not exist
+页面不存在
+页面不存在（404）
+您访问的页面不存在
+您访问的内容已下架或被移除
+您访问的题目已被删除
+可能的原因：链接失效、内容审核中。
+## trouble
 Oops! Something went wrong
 Something went wrong. Please try again later.
 Please try again later or go back to the home page.
+抱歉，出错了
+抱歉，您访问的页面出错了
+服务器内部错误
+服务暂时不可用
+系统繁忙，请稍后再试
+系统维护中，请稍后访问
+网络异常，请检查网络设置
+网络开小差了
+## slow
 The server took too long to respond.
-The server took too long to answer.
 The connection has timed out
 Too many requests, please slow down
-Your session has expired, please log in again
+请求超时，请刷新重试
+请求过于频繁，请稍后再来
+请求过于频繁，请 5 分钟后再来
+## reference
 Request ID 8f3a21bc90de
-Reference 679861797087
-status=404 trace=2e34e919ce21
-status=500 trace=9d14ac01be77
-(5afa4f0be209)
+Reference 402917736650
+status=404 trace=7b1c90aa4f3e
+status=500 trace=d02e6617c5b8
+(0be19c7d52fa)
+请求编号 3f60a1d4e98b
+## session
+Your session has expired, please log in again
+登录已过期，请重新登录
+登录已过期，请重新登录后查看
+请先登录后查看
+## loading
 Loading...
 loading...
 Loading, please wait
 Please wait while the page is loading
+加载失败，点击重试
+正在加载，请稍候
+正在加载，请稍候……若长时间无响应，请检查网络
+## robot
 Checking your browser before accessing the site
 Please verify you are human
+请输入验证码后继续访问
+## navigation
+刷新页面
+返回首页
+返回首页 | 联系客服
+5 秒后自动跳转到首页
+## scripts
 Please enable JavaScript to continue
 Please enable cookies and JavaScript to continue
 JavaScript is disabled in your browser
 You need to enable JavaScript to run this app.
 This site requires cookies; turn them on and reload.
 This viewer requires scripts; turn them on and reload.
+本页面需要启用 JavaScript 才能显示，请在浏览器设置中打开后刷新。
+请启用 Cookie 后继续
+请允许脚本运行以查看内容
+您的浏览器未启用脚本，部分内容无法显示。
+您的浏览器未开启脚本功能，页面无法正常显示。
+脚本被拦截，加载中止
+请检查是否禁用了脚本
+## browser
 Your browser is not supported, please upgrade your browser
 Please turn off your ad blocker
+浏览器版本过低，请升级后重试。
+浏览器版本过低，无法显示，请升级后重试。
+## program
 Traceback (most recent call last):
 File "main.py", line 12, in run
 KeyError: 'name'
@@ -105,60 +162,16 @@ Segmentation fault (core dumped)
 SQLSTATE[42S02]: table users doesn't exist
 Fatal error: Uncaught exception
 Warning: undefined variable
+## service
 {"code":500,"msg":"service timeout","data":null}
 {"error":"not found","status":404}
+## nothing
 [object Object]
 undefined
 null
 NaN
 None
-页面不存在
-页面不存在（404）
-您访问的页面不存在
-您访问的内容已下架或被移除
-您访问的题目已被删除
-抱歉，出错了
-抱歉，您访问的页面出错了
-服务器内部错误
-服务暂时不可用
-系统繁忙，请稍后再试
-系统维护中，请稍后访问
-网络异常，请检查网络设置
-网络开小差了
-请求超时，请刷新重试
-请求过于频繁，请稍后再来
-请求过于频繁，请 5 分钟后再来
-请求编号 84004c6046fe
-错误码：404
-错误码：500
-错误代码 502
-没有权限查看此内容
-没有权限访问该页面
-登录已过期，请重新登录
-登录已过期，请重新登录后查看
-请先登录后查看
-可能的原因：链接失效、内容审核中。
-加载失败，点击重试
-正在加载，请稍候
-正在加载，请稍候……若长时间无响应，请检查网络
-刷新页面
-返回首页
-返回首页 | 联系管理员
-5 秒后自动跳转到首页
-本页面需要启用 JavaScript 才能显示，请在浏览器设置中打开后刷新。
-请启用 Cookie 后继续
-请允许脚本运行以查看内容
-您的浏览器未启用脚本，部分内容无法显示。
-检测到您的浏览器未开启脚本功能，部分内容无法显示。
-浏览器版本过低，请升级后重试。
-浏览器版本过低，无法显示，请升级后重试。
-脚本被拦截，加载中止
-是否禁用了脚本
-请输入验证码后继续访问
-""".splitlines()
-
-# Trusted filler and test text.
-FILLER = """\
+## latin
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
 Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
@@ -167,54 +180,70 @@ Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium dolor
 Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt.
 Neque porro quisquam est qui dolorem ipsum quia dolor sit amet consectetur adipisci velit.
 lorem ipsum lorem ipsum lorem ipsum
-xxxx xxxx xxxx xxxx xxxx xxxx
+## keys
+xxx xxx xxx xxx xxx xxx
+xxxx xxxx xxxx
 XXXXXXXXXXXX
-asdfasdfasdfasdfasdf
+asdfasdfasdf
 asdf asdf qwer qwer
+asdf
+qwer qwer qwer
+## test
 test test test test
 this is a test
+测试测试测试测试
+测试数据，仅供测试，请忽略
+测试文本测试文本测试文本
+测试题目，请勿作答
+## placeholder
 sample text sample text
 placeholder text
+placeholder text, replace before release
+Sample question text
 insert text here
 your text here
 to be filled in
 TBD
 N/A
-测试测试测试测试测试测试
-测试数据，请忽略
-测试数据，请忽略 1
-测试文本测试文本测试文本
-测试题目，请勿作答
 样例文字样例文字样例文字
-样例题干样例题干样例题干
-示例文字示例文字示例文字
+样例题干样例题干
+示例文字示例文字
 示例文本，请替换
-占位内容，占位内容
-这里是占位内容，这里是占位内容，
+占位内容，占位内容，占位内容，
+这是占位文字，这是占位文字，这是占位文字，
 占位文字占位文字
-此段文字仅用于排版，此段文字仅用于排版，
+本段文字只用于排版，本段文字只用于排版，本段文字只用于排版，
 本段为示意文本，正式内容稍后更新
 请替换为正式内容后再发布
 请替换为正式题目后再发布 1
-内容内容内容内容内容内容
-选项A：选项内容
-选项B：选项内容
-答案：答案内容
+内容内容内容内容
+选项 A：选项内容
+答案为答案内容
 标题：标题内容
+啊啊啊啊啊啊啊啊啊啊啊啊
+待填写
+内容待补充
+## untitled
 未命名文档
 未命名文档 1
 新建题目
 新建文档
-（共 0 题）
+共 0 题
+（共 0 条）
 共 0 条
-啊啊啊啊啊啊啊啊啊啊啊啊
-Sample question text goes here
-placeholder text, replace before release
-asdf
-qwer qwer qwer qwer
-待填写
-内容待补充
-""".splitlines()
+"""
+
+
+def families() -> dict[str, list[str]]:
+    """The trusted records by family."""
+    out: dict[str, list[str]] = {}
+    for line in RECORDS.splitlines():
+        if line.startswith("## "):
+            own = out.setdefault(line[3:], [])
+        else:
+            own.append(line)
+    return out
+
 
 # The forms of an unfilled slot, and names that stand in one.
 SLOTS = """\
@@ -275,23 +304,22 @@ CONTENT = """\
 第500号样本的读数出现错误，已重新测量。
 该错误源于把底物浓度算错，改正后误差为5%。
 用脚本控制光照，每12小时切换一次。
-植株需要适应后才能正常生长。
+动物需要适应后才会正常活动。
 数据采集服务器每10分钟记录一次，断电期间的数值缺失。
 肿瘤的占位效应会压迫周围组织。
 以模板链为准，转录出的mRNA长300个碱基。
-未命名的新种暂以采集地称呼。
-待补充完毕后继续观察。
-向培养液中补充营养，待补充完毕后再观察。
+该未命名的物种只见于高山。
+样品不足，待补充后再测。
+营养液待补充之后，实验继续进行。
 示例：若亲本为杂合子，则填写表中第2行。
-当蜜蜂访问花朵过于频繁时，会稍后再来。
-访问蜜源的次数过于频繁时，蜜蜂会稍后再来。
-集合{A, B, C}表示三种配子，[3]为对应的图号。
-样本标签写作 #5-B#，百分号%表示相对湿度。
-请回答：该过程的名称是______。
-请写出关键步骤______。
-(1)______；(2)______。
+取样过于频繁时，稍后再取。
+鸟类访问花朵过于频繁时，会稍后再来。
+集合{甲, 乙}表示两种配子，[2]为图号。
+样本标签写作 #7-C#，百分号%表示相对湿度。
+请写出该过程的名称______。
+(1)______，(2)______。
 The 404 seeds that could not be found were counted as lost.
-Access to water was denied for 9 days and the plants stopped growing.
+Access to food was denied for two days and the animals slept more.
 The error bars show one standard deviation.
 The server of the weather station recorded the temperature every hour.
 The page of the notebook was missing, so the values were measured again.
@@ -304,16 +332,16 @@ Samples were tested twice in each group.
 【选项】A. 第一项
 A. 第一项
 【答案】A
-【答案】ABD
-【答案】B；D
+【答案】AC
+【答案】A；C
 【答案】(1)：空1：甲；空2：乙 / 丙；(2)：空1：丁
 【答案】12/5
 答案：A
-答案：BCD
-答案：A；B
-答案：CO_{2}
+答案：AD
+答案：B；C
+答案：H_{2}O
 答案：parts：blanks：空1：甲；空2：3.5；note：通常
-参考答案 ACD
+参考答案 AB
 参考答案 空1：甲；空2：乙
 【解析】略
 解析：略
@@ -350,14 +378,15 @@ def seams(text: str):
             yield s[head.start() : tail.end()]
 
 
-SENTENCE = re.compile(r"(?<=[。！？；!?;])|(?<=\.)\s")
+SENTENCE = re.compile(r"[。！？；!?;]|\.(?=\s)")
 LATIN = re.compile(r"[ -~]{6,}")
 
 
-def spans(passage: str) -> list[str]:
-    """The sentences of a passage and its runs of Latin text, without those that are all of it."""
-    parts = SENTENCE.split(passage) + ([] if passage.isascii() else LATIN.findall(passage))
-    return [p for p in dict.fromkeys(map(str.strip, parts)) if p and p != passage]
+def spans(passage: str) -> list[tuple[int, int]]:
+    """Where the sentences of a passage and its runs of Latin text are, without those that are all of it."""
+    cuts = [0, *(m.end() for m in SENTENCE.finditer(passage)), len(passage)]
+    parts = list(zip(cuts, cuts[1:])) + ([] if passage.isascii() else [m.span() for m in LATIN.finditer(passage)])
+    return [(lo, hi) for lo, hi in dict.fromkeys(parts) if hi - lo < len(passage) and not passage[lo:hi].isspace() and lo < hi]
 
 
 def _word(token: str) -> str:
@@ -383,22 +412,55 @@ def _shape(token: str) -> str:
     return token
 
 
-def contexts(passage: str) -> list[tuple]:
+def periodic(passage: str) -> bool:
+    """Whether a passage is one stretch of four characters or more, three times or more, and perhaps a part of it."""
+    d = passage.find(passage[:4], 4) if len(passage) >= 12 else -1
+    return 0 < d <= len(passage) // 3 and passage[d:] == passage[:-d]
+
+
+LETTERS, NUMBER, CJK, MARK, END = range(5)
+KNOWN: dict[str, tuple[str, str, int]] = {}
+
+
+def _known(token: str) -> tuple[str, str, int]:
+    """(word, shape, kind) of a token, remembered."""
+    w, shape = _word(token), _shape(token)
+    if shape in ("w", "U"):
+        kind = LETTERS
+    elif shape == "C":
+        kind = CJK
+    else:
+        kind = NUMBER if shape == "9" else END if w[0] in ".;!?" or not w.isascii() else MARK
+    if len(KNOWN) > MEMO:
+        KNOWN.clear()
+    KNOWN[token] = out = (w, shape, kind)
+    return out
+
+
+def tokens(passage: str) -> tuple[list[tuple[str, str, int]], list[int]]:
+    """The (word, shape, kind) of each token, and where it begins."""
+    out, at, get = [], [], KNOWN.get
+    for m in TOKEN.finditer(passage):
+        t = m.group()
+        out.append(get(t) or _known(t))
+        at.append(m.start())
+    return out, at
+
+
+def contexts(toks: list[tuple[str, str, int]], repeated: bool = False) -> list[tuple]:
     """What each token's features depend on: (word before, word, shape before, shape, shape behind, last, filler, again)."""
-    tokens = TOKEN.findall(passage)
-    shapes = ["^", *map(_shape, tokens), "$"]
-    words = [_word(t) for t in tokens]
-    out, before, plain, n = [], "^", 0, len(words)
-    for k, w in enumerate(words, 1):
-        own, again = shapes[k], False
-        if own == "w" or own == "U":
+    out, before, left, plain, last = [], "^", "^", 0, len(toks) - 1
+    words = [t[0] for t in toks]
+    for k, (w, own, kind) in enumerate(toks):
+        again = repeated
+        if kind == LETTERS:
             plain = 0 if w in FUNCTION_WORDS else plain + 1
-        elif own == "9" or w[0] in ".;!?" or not w.isascii():
+        elif kind == NUMBER or kind == END or kind == CJK:
             plain = 0
-        if k > 4 and w in words[k - 5 : k - 1] and own in ("w", "U", "C"):
-            again = k < 9 or words[k - 9 : k - 1].count(w) > 1
-        out.append((before, w, shapes[k - 1], own, shapes[k + 1], k == n, plain >= 7 and own in ("w", "U"), again))
-        before = w
+        if k > 3 and (kind == LETTERS or kind == CJK) and w in words[k - 4 : k]:
+            again = again or k < 8 or words[k - 8 : k].count(w) > 1
+        out.append((before, w, left, own, toks[k + 1][1] if k < last else "$", k == last, plain >= 7 and kind == LETTERS, again))
+        before, left = w, own
     return out
 
 
@@ -423,56 +485,59 @@ def expand(context: tuple) -> list[str]:
 
 
 def features(passage: str) -> list[list[str]]:
-    return [expand(c) for c in contexts(passage)]
+    return [expand(c) for c in contexts(tokens(passage)[0], periodic(passage))]
 
 
-def trusted() -> list[tuple[str, float]]:
-    """The positive passages with their weights: messages, filler, and each form of a slot with several names and surroundings."""
+def trusted(records: dict[str, list[str]] | None = None) -> list[tuple[str, float]]:
+    """The positive passages with their weights: records (all families, if none are given), and each form of a slot with several names and surroundings."""
+    plain = list(chain.from_iterable((families() if records is None else records).values()))
     slots = []
     for form in SLOTS:
         for name, cjk in zip(NAMES, CJK_NAMES):
             slot = form.replace("N", name).replace("U", name.upper()).replace("C", cjk) if re.search("[NUC]", form) else form
             slots += [c.replace("@", slot, 1) for c in AROUND]
-    return [(p, TRUST) for p in dict.fromkeys(MESSAGES + FILLER)] + [(p, SLOT) for p in dict.fromkeys(slots)]
+    return [(p, TRUST) for p in dict.fromkeys(plain)] + [(p, SLOT) for p in dict.fromkeys(slots)]
 
 
-def fit(unlabelled: list[str]) -> dict[str, float]:
+def fit(unlabelled: list[str], records: dict[str, list[str]] | None = None) -> dict[str, float]:
     """feature -> log-odds of residue against content, by expectation-maximization over positive and unlabelled passages."""
-    def bag(p: str) -> dict[str, int]:
-        n: dict[str, int] = defaultdict(int)
-        for f in features(p):
-            for x in f:
-                n[x] += 1
-        return n
-
-    sure = [(bag(p), w) for p, w in trusted()]
-    sound = [bag(p) for p in CONTENT]
-    open_ = [bag(p) for p in unlabelled]
-    chance = [PRIOR] * len(open_)
-    odds: dict[str, float] = {}
+    number: dict[str, int] = {}
+    seen: dict[tuple, tuple[int, ...]] = {}
+
+    def bags(passages_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct features of each passage, one after the other, and the passage that each belongs to."""
+        ids: list[int] = []
+        ends = []
+        for p in passages_:
+            own: set[int] = set()
+            for c in contexts(tokens(p)[0], periodic(p)):
+                if (f := seen.get(c)) is None:
+                    f = seen[c] = tuple(number.setdefault(x, len(number)) for x in expand(c))
+                own.update(f)
+            ids += own
+            ends.append(len(ids))
+        return np.array(ids, np.int64), np.repeat(np.arange(len(passages_)), np.diff([0, *ends]))
+
+    known = trusted(records)
+    sure, of_sure = bags([p for p, _ in known])
+    sound, _ = bags(CONTENT)
+    open_, of_open = bags(unlabelled)
+    n = len(number)
+    weight = np.array([w for _, w in known])
+    total = lambda ids, w: np.bincount(ids, w, n)
+    trusted_pos, trusted_neg = total(sure, weight[of_sure]), total(sound, np.full(len(sound), TRUST * COUNTER))
+    chance = np.full(len(unlabelled), PRIOR)
+    base, odds = math.log(PRIOR / (1 - PRIOR)), np.zeros(n)
     for _ in range(ROUNDS):
-        pos: dict[str, float] = defaultdict(float)
-        neg: dict[str, float] = defaultdict(float)
-        for b, w in sure:
-            for x in b:
-                pos[x] += w
-        for b in sound:
-            for x in b:
-                neg[x] += TRUST * COUNTER
-        for b, r in zip(open_, chance):
-            for x in b:
-                pos[x] += r
-                neg[x] += 1 - r
-        np_, nn = sum(pos.values()), sum(neg.values())
-        odds = {}
-        for x in set(pos) | set(neg):
-            # Both classes are smoothed towards the feature's overall share, so a feature that is rare everywhere says little.
-            share = MASS * (pos[x] + neg[x]) / (np_ + nn)
-            odds[x] = math.log((pos[x] + share) / (np_ + MASS)) - math.log((neg[x] + share + SMOOTH * nn) / (nn + MASS))
-        base = math.log(PRIOR / (1 - PRIOR))
+        pos, neg = trusted_pos + total(open_, chance[of_open]), trusted_neg + total(open_, 1 - chance[of_open])
+        np_, nn = pos.sum(), neg.sum()
+        # Both classes are smoothed towards the feature's overall share, so a feature that is rare everywhere says little.
+        share = MASS * (pos + neg) / (np_ + nn)
+        odds = np.log((pos + share) / (np_ + MASS)) - np.log((neg + share + SMOOTH * nn) / (nn + MASS))
         # Features overlap, so the evidence of a passage is tempered.
-        chance = [1 / (1 + math.exp(-max(-30.0, min(30.0, base + TEMPER * sum(odds[x] for x in b))))) for b in open_]
-    return {x: v for x, v in odds.items() if abs(v) > 0.05}
+        evidence = base + TEMPER * np.bincount(of_open, odds[open_], len(unlabelled))
+        chance = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+    return {x: v for x, v in zip(number, odds.tolist()) if abs(v) > 0.05}
 
 
 def scorer(odds: dict[str, float]):
@@ -487,12 +552,37 @@ def scorer(odds: dict[str, float]):
         known[c] = v = (sum(odds.get(x, NEW) for x in f) / len(f), SIGN.search(c[1]) is not None)
         return v
 
+    def odds_of(c: tuple) -> float:
+        return (known.get(c) or value(c))[0]
+
+    def alone(toks: list, cs: list, upto: list, i: int, j: int) -> float:
+        """What tokens i to j would sum up to as a passage of their own: the passage's sum, with the contexts that end at the span's edges put right."""
+        if i and toks[i - 1][2] in (LETTERS, MARK):
+            return sum(map(odds_of, contexts(toks[i:j])))
+        own: dict[int, tuple] = {}
+        if i:
+            c = cs[i]
+            own[i] = ("^", c[1], "^", *c[3:7], False)
+            for g in range(i + 1, min(i + 8, j)):  # a word counts as used again within its own span only
+                w, _, kind = toks[g]
+                again = g - i > 3 and (kind == LETTERS or kind == CJK) and any(w == t[0] for t in toks[g - 4 : g])
+                if again != cs[g][7]:
+                    own[g] = (*cs[g][:7], again)
+        if j < len(toks):
+            c = own.get(j - 1, cs[j - 1])
+            own[j - 1] = (*c[:4], "$", True, *c[6:])
+        return upto[j] - upto[i] + sum(odds_of(c) - odds_of(cs[g]) for g, c in own.items())
+
     def score(passage: str) -> float:
-        best = free = whole = run = 0.0
+        best = free = run = 0.0
         signs = 0
-        for c in contexts(passage):
+        toks, at = tokens(passage)
+        repeated = periodic(passage)
+        cs = contexts(toks, repeated)
+        upto = [0.0]
+        for c in cs:
             v, sign = known.get(c) or value(c)
-            whole += v
+            upto.append(upto[-1] + v)
             run += v
             if run <= 0:  # a stretch may begin right after its opening sign
                 run, signs = 0.0, int(sign)
@@ -502,9 +592,14 @@ def scorer(odds: dict[str, float]):
                 free = run
             if signs and run > best:
                 best = run
-        parts = max((sum((known.get(c) or value(c))[0] for c in contexts(p)) for p in spans(passage)), default=0.0)
-        return max(best, whole, free - FREE, parts)
-
+        parts = 0.0
+        for lo, hi in spans(passage):
+            i, j = bisect_left(at, lo), bisect_left(at, hi)
+            if i < j and (s := sum(map(odds_of, contexts(toks[i:j]))) if repeated else alone(toks, cs, upto, i, j)) > parts:
+                parts = s
+        return max(best, upto[-1], free - FREE, parts)
+
+    score.alone, score.odds_of = alone, odds_of  # for tests
     return score
 
 
@@ -527,12 +622,26 @@ def _sampled(share: float):
     return run
 
 
+#: Where a text's lines end, as splitlines() has it.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def sample(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> list[str]:
+    """The `size` distinct passages of the corpus with the smallest hashes (all of them, if there are fewer).
+
+    What is looked at is a share of the range of hashes, from a count of all passages; where copies and blank lines leave too few in it, the share is
+    widened. A partition sends `size` passages at most."""
+    n = docs.agg(F.sum(F.size(F.split(text, LINE_ENDS)) + F.floor(F.length(text) / PASSAGE)).alias("n")).first().n or 0
+    share = min(1.0, 1.5 * size / max(1, n))
+    while True:
+        rows = spread(docs.select(text)).mapInArrow(_sampled(share), "h long, passage string").distinct().orderBy("h", "passage").limit(size).collect()
+        if len(rows) == size or share == 1.0:
+            return [r.passage for r in rows]
+        share = min(1.0, 4 * share)
+
+
 def model(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> dict[str, float]:
-    """Fit on the `size` distinct passages of the corpus with the smallest hashes, or those of them in the share of hashes that holds about
-    1.5 * size passages. The share comes from a count of all passages, so what is sent is bounded whatever the corpus' size."""
-    n = docs.agg(F.sum(F.size(F.split(text, "\n")) + F.floor(F.length(text) / PASSAGE)).alias("n")).first().n or 0
-    rows = spread(docs.select(text)).mapInArrow(_sampled(min(1.0, 1.5 * size / max(1, n))), "h long, passage string").distinct().collect()
-    return fit([r.passage for r in sorted(rows)[:size]])
+    return fit(sample(docs, text, size))
 
 
 def _scored(odds: dict[str, float]):

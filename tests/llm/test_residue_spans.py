@@ -17,5 +17,10 @@ def test_messages_in_the_middle_of_a_content_line():
 
 
 def test_spans():
-    assert M.spans("甲升高。乙下降！404 Not Found丙不变") == ["甲升高。", "乙下降！", "404 Not Found丙不变", "404 Not Found"]
-    assert M.spans("One. Two") == ["One.", "Two"] and M.spans("页面不存在") == []
+    cut = lambda p: [p[lo:hi].strip() for lo, hi in M.spans(p)]
+    assert cut("甲升高。乙下降！404 Not Found丙不变") == ["甲升高。", "乙下降！", "404 Not Found丙不变", "404 Not Found"]
+    assert cut("One. Two") == ["One.", "Two"] and cut("页面不存在") == []
+
+
+def test_a_repeated_sentence_is_filler():
+    assert M.periodic("本段略去，本段略去，本段略去，本段") and not M.periodic("细胞细胞") and not M.periodic("甲乙丙丁戊己庚辛壬癸子丑") and not M.periodic("")
