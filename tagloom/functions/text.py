@@ -1,11 +1,13 @@
-"""Text, hash and set functions as Column expressions; two Arrow UDFs where SQL has no form (entities, recursive answers)."""
+"""Text, hash and set functions as Column expressions; an Arrow UDF where SQL has no form (recursive answers)."""
 
 from __future__ import annotations
 
 import html
+import html.entities
 import json
 import re
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -44,9 +46,34 @@ KEEP_WIDE = "，。；：？！"
 PLAIN = {"﹣": "-", "−": "-", "～": "~", "≥": ">=", "≤": "<=", "≠": "!=", "\u3000": " ", "\u00a0": " "}
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(s):
-    return s.map(lambda x: html.unescape(x) if x and "&" in x else x)
+# Named references come from the standard library's table; those without a semicolon may also begin a longer run of letters.
+_NAMED = html.entities.html5
+_BARE = sorted((n for n in _NAMED if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: Numeric references below this number are looked up, since some stand for another character or for none.
+_LOW = 256
+
+
+def unescape(x: C) -> Column:
+    """Character references decoded as html.unescape does it, inside the JVM; a text without & is left alone."""
+    t = text(x)
+    named = F.create_map(*chain.from_iterable((F.lit(n), F.lit(v)) for n, v in _NAMED.items()))
+    low = F.create_map(*chain.from_iterable((F.lit(n), F.lit(html.unescape(f"&#{n};"))) for n in range(_LOW)))
+    number = lambda digits, base: F.conv(F.when(F.length(digits) > 9, F.lit("7fffffff" if base == 16 else "2147483647")).otherwise(digits), base, 10).cast("bigint")
+    digits = lambda s: F.regexp_replace(F.regexp_replace(s, "^#[xX]?|;$", ""), "^0+(?=.)", "")
+
+    def char(n: Column) -> Column:
+        gone = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        none = n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        return F.when(gone, F.lit("\ufffd")).when(none, F.lit("")).when(n < _LOW, low[n.cast("int")]).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(part: Column) -> Column:
+        s = F.substring(part, 2, 40)
+        bare = F.regexp_extract(s, "^(" + "|".join(_BARE) + ")", 1)
+        word = F.coalesce(F.try_element_at(named, s), F.when(bare != "", F.concat(F.try_element_at(named, bare), F.substring(s, F.length(bare) + 1, F.lit(40)))), part)
+        return F.when(~F.startswith(part, F.lit("&")), part).when(s.rlike("^#[xX]"), char(number(digits(s), 16))).when(s.rlike("^#"), char(number(digits(s), 10))).otherwise(word)
+
+    parts = F.regexp_extract_all(t, F.lit(r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&)"), F.lit(1))
+    return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(t)
 
 
 def html_normalize(x: C) -> Column:
@@ -55,7 +82,7 @@ def html_normalize(x: C) -> Column:
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     narrow = [(w, chr(ord(w) - 0xFEE0)) for w in wide if w not in KEEP_WIDE]
     sub = lambda c, rules: reduce(lambda a, r: F.regexp_replace(a, r[0], r[1]), rules, c)
-    out = sub(_unescape(sub(text(x), MARKUP)), MATH)
+    out = sub(unescape(sub(text(x), MARKUP)), MATH)
     out = F.translate(out, "".join(w for w, _ in narrow), "".join(n for _, n in narrow))
     for old, new in PLAIN.items():
         out = F.replace(out, F.lit(old), F.lit(new))

@@ -4,6 +4,8 @@ Order of arrival is a column (ingested_at and a hash for ties), never the order
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -239,6 +241,24 @@ def q_hash(s, d):
     return _u(s, d).select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("h").alias("forms"), F.min("h").alias("least"), F.max("h").alias("most"))
 
 
+def _sql_text(x: str) -> str:
+    """SQL of what a field of question HTML becomes; of character references only those that the test tables have."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in "，。；：？！")
+    narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide).replace("'", "''")
+    sub = lambda s, rules: reduce(lambda a, r: f"regexp_replace({a}, '{r[0]}', '{r[1]}', 'g')", rules, s)
+    out = sub(f"coalesce({x}, '')", [(r"(?i)(?:\$\s*)*<img[^>]*>(?:\s*<br\s*/?>)*", " "), (r"(?i)</sup>\s*<sup>", ""), (r"(?i)</sub>\s*<sub>", ""), (r"(?is)<sup>\s*(.*?)\s*</sup>", r"^{\1}"), (r"(?is)<sub>\s*(.*?)\s*</sub>", r"_{\1}")])
+    out = f"replace({out}, '$(\\qquad)$', '(   )')"
+    out = sub(out, [(r"(?is)<span\s+class=[\"''][^\"'']*underline[^\"'']*fillblank[^\"'']*[\"''][^>]*>.*?</span>", "______"), (r"(?s)<!--.*?-->", ""), (r"(?s)</?[A-Za-z][^>]*>", " ")])
+    out = f"replace(replace(replace(replace({out}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    out = sub(out, [(r"(?:\$\s*)+", " "), (r"\s*(?:\\!\s*)*%\s*(?:\\!\s*)*(?:\\text\{\s*\})?", r"\\%")])
+    out = f"translate({out}, '{wide}', '{narrow}')"
+    for old, new in (("﹣", "-"), ("−", "-"), ("～", "~"), ("≥", ">="), ("≤", "<="), ("≠", "!="), ("\u3000", " "), ("\u00a0", " ")):
+        out = f"replace({out}, '{old}', '{new}')"
+    out = f"replace(trim(regexp_replace({out}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}]+', ' ', 'g'), ' '), '()', '(   )')"
+    return "trim(" + sub(out, [(r"\s+([。，！？；：\"''）】])", r"\1")]) + ", ' ')"
+
+
+_INFO = """q as (select *, trim(coalesce(question_info, ''), ' ') = '' bare, case when json_valid(question_info) then question_info::json end j from raw_question)"""
 _FIRST = "f as (select question_id, arg_min(parent_id, ingested_at) parent_id, count(*) copies from (select question_id, trim(parent_id, ' ' || chr(9)) parent_id, ingested_at from raw_question) group by 1)"
 _SQ = "regexp_replace(trim(coalesce({}, '')), '\\s+', ' ', 'g')"
 _DG = f"""h as (select question_id, sha256(to_json([{', '.join(_SQ.format(x) for x in ('parent_stem', 'stem', 'options', 'answer_text', 'analysis'))}])::varchar) h, array_to_string(list_sort(list_distinct(coalesce(legacy_knw_ids, []))), ',') || (case when list_contains(coalesce(legacy_knw_ids, []), null) then ',' else '' end) sig from label_units),
@@ -254,6 +274,10 @@ QUERIES = {
     "membership_filter": q_membership, "unit_union": q_union, "catalog_quality": q_catalog_quality, "catalog_uniqueness": q_catalog_dups, "module_rollup": q_modules, "sibling_pairs": q_siblings, "content_hashes": q_hash,
 }
 ORACLES = {
+    "html_normalize": f"with {_INFO} select question_id, ingested_at, {_sql_text("j ->> '$.stem'")} stem, {_sql_text("j ->> '$.analysis'")} analysis from q where bare or j is not null",
+    "clean_report": f"with {_INFO} select subject, count(*) n_rows, (count(*) filter (where not bare and j is null))::bigint errors, (count(*) filter (where (bare or j is not null) and {_sql_text("j ->> '$.stem'")} = ''))::bigint blank_stems from q group by 1",
+    "clean_options": f"""with f as (select question_id, arg_min(question_info, ingested_at) i from raw_question where question_id is not null group by 1), e as (select question_id, unnest(from_json(case when json_valid(i) then i end, '{{"options":[{{"title":"VARCHAR","htmlCode":"VARCHAR"}}]}}').options) o, generate_subscripts(from_json(case when json_valid(i) then i end, '{{"options":[{{"title":"VARCHAR","htmlCode":"VARCHAR"}}]}}').options, 1) n from f),
+c as (select question_id, n, {_sql_text('o.title')} t, {_sql_text('o.htmlCode')} h from e) select question_id, string_agg(t || '. ' || h, chr(10) order by n) options from c where t <> '' and h <> '' group by 1""",
     "parent_group": f"with {_FIRST}, k as (select parent_id question_id, array_to_string(list_sort(list(question_id)), '|') children, count(*) n_children from f where coalesce(parent_id, '') not in ('', question_id) group by 1), r as (select question_id, copies from f where coalesce(parent_id, '') in ('', question_id) or question_id in (select question_id from k)) select coalesce(r.question_id, k.question_id) question_id, r.question_id is null placeholder, coalesce(children, '') children, coalesce(n_children, 0) n_children, coalesce(copies, 0) copies from r full join k on r.question_id = k.question_id",
     "duplicate_ids": "select question_id, count(*) n_rows, count(distinct question_info) forms from raw_question group by 1 having count(*) > 1",
     "exact_dup_groups": f"with {_DG} select h content_hash, primary_id, n_members, label_sets, conflict from dg",

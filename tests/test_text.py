@@ -80,3 +80,11 @@ def test_alignment_and_columns(spark):
     row = spark.sql("select 'abcdef' a, 1 legacy_x, named_struct('p', 1, 'q', 2) flags")
     assert tuple(row.select(*X.prefixes({"a": 3})).first()) == ("abc",)
     assert X.without_prefix(row, "legacy_", {"flags": ["q"]}).schema.simpleString() == "struct<a:string,flags:struct<p:int>>"
+
+
+def test_unescape_as_the_standard_library(spark):
+    import html
+
+    cases = ["", "a&b", "&", "&&amp;", "&amp", "&ampx;", "&lt;p&gt;", "&nbsp;x", "&notit;", "&notin;", "&#65;&#x41;&#X1F600;", "&#0;", "&#128;&#x9f;&#13;", "&#xD800;", "&#1114112;", "&#99999999999999;", "&#xffffffffffff;", "&#xfdd0;", "&#65534;", "&#12288;", "&hearts;&Hearts;&zz;", "&#;&#x;", "x & y &copy 2 &copyright; &Aacute", "&#0000065;", "&#8;", "&NotEqualTilde;", "a;&b;c", "&unknownnamethatisverylongindeedyes;", "&#x2003;t"]
+    df = spark.createDataFrame([(c,) for c in cases], "x string").select("x", X.unescape("x").alias("y"))
+    assert [(r.x, r.y) for r in df.collect()] == [(c, html.unescape(c)) for c in cases]
