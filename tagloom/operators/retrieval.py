@@ -1,13 +1,14 @@
 """Candidate retrieval: BM25, exact cosine, rank fusion, comparison of rankings, recall, augmentation.
 
-The label catalogue is small and fixed, so its index is broadcast after its size is checked, and each batch of units is scored against it by a
-matrix product next to the data; without the check passing, postings are joined by token instead. Rankings break ties by id after scores are rounded,
+The label catalogue is small and fixed, so its index is broadcast after its size is checked, and each batch of units is scored against its
+postings next to the data; without the check passing, postings are joined by token instead. Rankings break ties by id after scores are rounded,
 so they don't depend on the order of sums."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from tagloom.runtime import spread, table, written
 
 K1, B, TOP = 1.5, 0.75, 20
 ROUND = 6
-#: The most cells (tokens x labels) of an index that is sent to the tasks (8 bytes each).
-MAX_CELLS = 16_000_000
+#: The most postings of an index that is sent to the tasks (12 bytes each).
+MAX_POSTINGS = 4_000_000
 #: The weights of a label's and of a unit's fields.
 LABEL_FIELDS = [("label_name", 4), ("label_path", 2), ("definition", 2), ("core_concepts", 2), ("common_assessments", 1), ("distinctions", 2)]
 UNIT_FIELDS = [("stem", 2), ("answer_text", 2), ("analysis", 2), ("options", 1), ("parent_stem", 1)]
@@ -50,29 +51,56 @@ def bm25_index(labels: DataFrame) -> DataFrame:
     return tf.join(df, "token").join(norms, "label_id").select("label_id", "token", (idf * F.col("w") * (K1 + 1) / (F.col("w") + F.col("norm"))).alias("weight"))
 
 
-def _matrix_search(labels: list[str], vocab: dict[str, int], weights: np.ndarray, k: int):
+class Postings:
+    """A label index as arrays: of token t (its place in vocab) the labels and weights from first[t] to first[t + 1]."""
+
+    def __init__(self, tokens: list[str], labels: list[str], weights: np.ndarray):
+        self.vocab, token = np.unique(np.array(tokens, object), return_inverse=True) if len(tokens) else (np.empty(0, object), np.empty(0, np.int64))
+        self.labels, label = np.unique(np.array(labels, object), return_inverse=True) if len(labels) else (np.empty(0, object), np.empty(0, np.int64))
+        order = np.lexsort((label, token))
+        self.label, self.weight = label[order].astype(np.int32), np.asarray(weights, np.float64)[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(token, minlength=len(self.vocab)))].astype(np.int64)
+
+    def scores(self, rows: np.ndarray, tokens: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """(n, labels) scores of n queries given as (row, token, times); tokens of a row add up in their order."""
+        cell, at = np.unique(rows * len(self.vocab) + tokens, return_inverse=True)
+        q = np.bincount(at, times, len(cell))
+        row, token = cell // len(self.vocab), cell % len(self.vocab)
+        many = self.first[token + 1] - self.first[token]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[token], many)
+        flat = np.bincount(np.repeat(row * len(self.labels), many) + self.label[place], np.repeat(q, many) * self.weight[place], n * len(self.labels))
+        return np.round(flat.reshape(n, len(self.labels)), ROUND)
+
+
+#: Cells of the table of scores that a task fills at once.
+SCORE_CELLS = 200_000
+
+
+def _search(index: Postings, k: int):
     """Mapper (id, tokens1..n) -> (id, label_id, score, rk)."""
-    ids, times = np.array(labels, object), [w for _, w in UNIT_FIELDS]
+    times = [w for _, w in UNIT_FIELDS]
+    step = max(1, SCORE_CELLS // max(1, len(index.labels)))
+
+    def part(b: pa.RecordBatch, vocab: pa.Array, names: pa.Array) -> pa.RecordBatch:
+        rows, tokens, weights = [], [], []
+        for column, w in zip(b.columns[1:], times):
+            found = pc.index_in(column.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+            known = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
+            rows.append(row[known])
+            tokens.append(found[known].astype(np.int64))
+            weights.append(np.full(known.sum(), float(w)))
+        s = index.scores(np.concatenate(rows), np.concatenate(tokens), np.concatenate(weights), b.num_rows)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # labels are in id order
+        top = np.take_along_axis(s, order, 1)
+        i, r = np.nonzero(top > 0)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), names.take(pa.array(order[i, r])), pa.array(top[i, r]), pa.array(r + 1)], ["question_id", "label_id", "score", "rk"])
 
     def run(batches):
+        vocab, names = pa.array(index.vocab.tolist(), pa.string()), pa.array(index.labels.tolist(), pa.string())
         for b in batches:
-            out_id, out_label, out_score, out_rank = [], [], [], []
-            keys = b.column(0).to_pylist()
-            fields = [c.to_pylist() for c in b.columns[1:]]
-            for i, key in enumerate(keys):
-                q = np.zeros(len(vocab))
-                for toks, w in zip(fields, times):
-                    at = [vocab[t] for t in toks[i] if t in vocab]
-                    q += w * np.bincount(at, minlength=len(vocab)) if at else 0
-                used = np.flatnonzero(q)
-                scores = np.round(q[used] @ weights[used], ROUND)
-                order = np.argsort(-scores, kind="stable")[:k]  # labels are in id order
-                order = order[scores[order] > 0]
-                out_id += [key] * len(order)
-                out_label += ids[order].tolist()
-                out_score += scores[order].tolist()
-                out_rank += range(1, len(order) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.string()), pa.array(out_label, pa.string()), pa.array(out_score, pa.float64()), pa.array(out_rank, pa.int64())], ["question_id", "label_id", "score", "rk"])
+            for lo in range(0, b.num_rows, step):
+                yield part(b.slice(lo, step), vocab, names)
 
     return run
 
@@ -80,18 +108,11 @@ def _matrix_search(labels: list[str], vocab: dict[str, int], weights: np.ndarray
 def bm25_topk(units: DataFrame, labels: DataFrame, k: int = TOP) -> DataFrame:
     """(question_id, label_id, score, rk): the k best labels of each unit with a score above 0."""
     index = bm25_index(labels)
-    size = index.agg(F.count_distinct("token").alias("t"), F.count_distinct("label_id").alias("l")).first()
-    if size.t * size.l > MAX_CELLS:
+    rows = index.select("token", "label_id", "weight").limit(MAX_POSTINGS + 1).toPandas()
+    if len(rows) > MAX_POSTINGS:
         return bm25_join(units, index, k)
-    rows = index.collect()
-    names = sorted({r.label_id for r in rows})
-    vocab = {t: i for i, t in enumerate(sorted({r.token for r in rows}))}
-    at = {n: i for i, n in enumerate(names)}
-    weights = np.zeros((len(vocab), len(names)))
-    for r in rows:
-        weights[vocab[r.token], at[r.label_id]] = r.weight
     tokens = spread(units.select("question_id", *[f for f, _ in UNIT_FIELDS])).select("question_id", *[X.tokens(f).alias(f) for f, _ in UNIT_FIELDS])
-    return tokens.mapInArrow(_matrix_search(names, vocab, weights, k), "question_id string, label_id string, score double, rk long")
+    return tokens.mapInArrow(_search(Postings(rows["token"].tolist(), rows["label_id"].tolist(), rows["weight"].to_numpy()), k), "question_id string, label_id string, score double, rk long")
 
 
 def half_even(c):
