@@ -7,7 +7,6 @@ import html.entities
 import json
 import re
 from functools import reduce
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -56,15 +55,16 @@ _LOW = 256
 def unescape(x: C) -> Column:
     """Character references decoded as html.unescape does it, inside the JVM; a text without & is left alone."""
     t = text(x)
-    named = F.create_map(*chain.from_iterable((F.lit(n), F.lit(v)) for n, v in _NAMED.items()))
-    low = F.create_map(*chain.from_iterable((F.lit(n), F.lit(html.unescape(f"&#{n};"))) for n in range(_LOW)))
+    # One literal each, so that the plan stays small.
+    table_of = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
+    named, low = table_of(_NAMED), table_of({str(n): html.unescape(f"&#{n};") for n in range(_LOW)})
     number = lambda digits, base: F.conv(F.when(F.length(digits) > 9, F.lit("7fffffff" if base == 16 else "2147483647")).otherwise(digits), base, 10).cast("bigint")
     digits = lambda s: F.regexp_replace(F.regexp_replace(s, "^#[xX]?|;$", ""), "^0+(?=.)", "")
 
     def char(n: Column) -> Column:
         gone = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
         none = n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
-        return F.when(gone, F.lit("\ufffd")).when(none, F.lit("")).when(n < _LOW, low[n.cast("int")]).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return F.when(gone, F.lit("\ufffd")).when(none, F.lit("")).when(n < _LOW, F.try_element_at(low, n.cast("string"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
     def one(part: Column) -> Column:
         s = F.substring(part, 2, 40)

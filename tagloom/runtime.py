@@ -24,6 +24,7 @@ def session(app: str = "tagloom", cores: str = "*", shuffle: int = 8, memory: st
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="tagloom-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
