@@ -46,7 +46,9 @@ PLAIN = {"﹣": "-", "−": "-", "～": "~", "≥": ">=", "≤": "<=", "≠": "!
 
 
 # Named references come from the standard library's table; those without a semicolon may also begin a longer run of letters.
-_NAMED = html.entities.html5
+# A lookup goes through them in order, so the most used ones come first.
+_OFTEN = [f"{n};" for n in "nbsp lt gt amp quot apos ldquo rdquo lsquo rsquo mdash ndash hellip times deg middot alpha beta gamma ensp emsp".split()]
+_NAMED = {n: html.entities.html5[n] for n in [*_OFTEN, *html.entities.html5]}
 _BARE = sorted((n for n in _NAMED if not n.endswith(";")), key=lambda n: (-len(n), n))
 #: Numeric references below this number are looked up, since some stand for another character or for none.
 _LOW = 256
@@ -54,7 +56,6 @@ _LOW = 256
 
 def unescape(x: C) -> Column:
     """Character references decoded as html.unescape does it, inside the JVM; a text without & is left alone."""
-    t = text(x)
     # One literal each, so that the plan stays small.
     table_of = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
     named, low = table_of(_NAMED), table_of({str(n): html.unescape(f"&#{n};") for n in range(_LOW)})
@@ -72,8 +73,9 @@ def unescape(x: C) -> Column:
         word = F.coalesce(F.try_element_at(named, s), F.when(bare != "", F.concat(F.try_element_at(named, bare), F.substring(s, F.length(bare) + 1, F.lit(40)))), part)
         return F.when(~F.startswith(part, F.lit("&")), part).when(s.rlike("^#[xX]"), char(number(digits(s), 16))).when(s.rlike("^#"), char(number(digits(s), 10))).otherwise(word)
 
-    parts = F.regexp_extract_all(t, F.lit(r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&)"), F.lit(1))
-    return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(t)
+    parts = lambda t: F.regexp_extract_all(t, F.lit(r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&)"), F.lit(1))
+    whole = lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(parts(t), one), "")).otherwise(t)
+    return F.element_at(F.transform(F.array(text(x)), whole), 1)  # bound to a variable, so that what makes the text is evaluated once
 
 
 def html_normalize(x: C) -> Column:
