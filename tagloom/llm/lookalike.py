@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from tagloom.runtime import HOT_KEYS, salted_join, spread, table, written
 
-# Greek and Cyrillic letters and the Latin letters of the same shape.
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ" "οϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXCM" "ocj"
+# Greek and Cyrillic letters and the Latin letters of the same shape. The rule: a letter whose Unicode prototype (the confusables table, see
+# tests) is a basic Latin letter, of the same case, unless its upright form is another one than the Latin letter's.
+GREEK = "ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹϺ" "οϲϳ"
+GREEK_AS = "JABEZHIKMNOPTYXFCM" "ocj"
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԌԚԜҮӀ" "аеорсухѕіјһԁԛԝүӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXGQWYI" "aeopcyxsijhdqwyl"
+#: Letters with such a prototype that are told apart by their upright form, and used as themselves in texts about the sciences.
+LEFT_OUT = "ͺαγινρσυϒϱ" "ЬгѡѵѴҽ"
 # Characters without a visible form that are not of the format class.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 #: Controls that break a line or tabulate are visible.
