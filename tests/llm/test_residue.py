@@ -112,3 +112,13 @@ def test_spans_score_as_passages_of_their_own():
                 if j <= len(toks) and (i == 0 or toks[i - 1][2] not in (M.LETTERS, M.MARK)):
                     want = sum(score.odds_of(c) for c in M.contexts(toks[i:j]))
                     assert abs(score.alone(toks, cs, upto, i, j) - want) < 1e-6, (t, i, j)
+
+
+def test_batches_score_as_single_passages():
+    plain = sf_passages("sf0.001")
+    odds = M.fit(plain)
+    texts = plain + UNSEEN + ["", "   ", "See Fig. 2. The the the server took too long. Lorem ipsum (a.) dolor dolor. X", "细胞404 Not Found细胞。细胞细胞 细胞！A; B; C", "测试测试测试测试测试", "。", "a. b", "a b c d e f g h i j. k l m n o p"]
+    one, many = M.scorer(odds), M.BatchScorer(odds)
+    assert max(abs(a - one(t)) for a, t in zip(many.scores(texts), texts)) < 1e-6
+    many.clear()
+    assert abs(many.scores(["{{ name }}", ""]) - [one("{{ name }}"), 0.0]).max() < 1e-9 and len(many.scores([])) == 0
