@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.canon import alnum, line_set
-from tagloom.runtime import HOT_KEYS, salted_join, table
+from tagloom.runtime import HOT_KEYS, salted_join, table, written
 
 KEY = ["h128", "h64", "chars"]
 
@@ -40,7 +40,8 @@ def copies(keys: DataFrame, row_id: str) -> DataFrame:
 
 
 def unit_keys(spark: SparkSession, d: str) -> DataFrame:
-    return keyed(table(spark, d, "label_units"), "question_id", [alnum("stem"), alnum("answer_text"), line_set("options")], alnum("stem"))
+    """The keys of label_units, made once and written: ids and hashes, no text."""
+    return written(keyed(table(spark, d, "label_units"), "question_id", [alnum("stem"), alnum("answer_text"), line_set("options")], alnum("stem")), "keys")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
