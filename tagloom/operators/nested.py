@@ -8,7 +8,7 @@ own depth, found by one map-side aggregated pass; more than LEVELS levels are ex
 Defined cases: null and blank texts give no row; a text that is a JSON string is replaced by it; a text that does not
 start with { or [ is one value at `$`; invalid JSON (also with anything behind it) gives no row; nulls, blank strings and
 empty containers are no values but count as positions; a repeated key counts with its last value; a value under an
-excluded key is left out at any depth; repeated input rows give repeated output rows."""
+excluded key is left out at any depth; numbers are values, not texts, so 46.0 is written 46; repeated input rows give repeated output rows."""
 
 from __future__ import annotations
 
@@ -158,7 +158,7 @@ tree as (select question_id, '$' || regexp_replace(fullkey[2:], '\."([^"]*)"|\.(
   where not regexp_matches(fullkey, '\.(blankId|index|no|score)([.\[]|$)')),
 placed as (select *, nullif(regexp_replace(node_path, '/[^/]*$', ''), node_path) parent_path, case when node_path <> '$' then regexp_extract(node_path, '[^/]*$') end place, (len(node_path) - len(replace(node_path, '/', '')))::int depth from tree),
 leaf as (select question_id, '$' leaf_path, a leaf_value, null parent_path, null place, 0 depth from txt where left(a, 1) not in ('{', '[') and trim(a) <> ''
-  union all select question_id, node_path, leaf_value, parent_path, place, depth from placed where kind not in ('OBJECT', 'ARRAY', 'NULL') and not (kind = 'VARCHAR' and regexp_matches(leaf_value, '^\s*$'))),
+  union all select question_id, node_path, case when kind = 'DOUBLE' then rtrim(rtrim(leaf_value, '0'), '.') else leaf_value end, parent_path, place, depth from placed where kind not in ('OBJECT', 'ARRAY', 'NULL') and not (kind = 'VARCHAR' and regexp_matches(leaf_value, '^\s*$'))),
 links as (select distinct child question_id, parent_question_id from (select question_id parent_question_id, unnest(child_question_ids) child from parent_plan) where child is not null)"""
 ORACLES = {
     "p5_found": f"{_TREE} select distinct coalesce(parent_question_id, l.question_id) parent_question_id, l.question_id, leaf_path from leaf l left join links k on k.question_id = l.question_id",
