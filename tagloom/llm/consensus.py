@@ -10,9 +10,10 @@ rate, c(i,j) = p(1-p) J_i J_j and t = p(1-p)(1-2p) J_i J_j J_k. So t / sqrt(c(i,
 The prior is the median over triplets, J the median over an annotator's triplets, which keeps a few dependent annotators from spoiling
 it. J, the prior and the selection rate give both rates, these the log-odds weights, and an item's ballots add up to its score. No majority is used.
 
-Sizes: annotators are ranked by their number of ballots, and triplets are made within REACH ranks, so at most REACH * (REACH - 1) / 2 an annotator, all
-of them up to REACH + 1 annotators. With no more than that a question's ballots are one row; else a ballot meets its partners by a join on (question,
-annotator), so a row holds at most REACH partners however many annotators a question has. A table of annotators is broadcast if it has at most MAX_BROADCAST rows (counted), else joined by shuffle with salted keys.
+Sizes: every three annotators of a question are a triplet, so a question of m ballots has m * (m - 1) * (m - 2) / 6 of them, added up over questions by annotators; none is left out.
+A question of up to BLOCK ballots is one row. A wider one is parted by a hash of the annotator into blocks of about BLOCK ballots, and each three blocks (repeated ones too) are a row, so a row
+holds about 3 * BLOCK ballots however many annotators a question has. Ballots are masks of 64 labels, a row more for each further 64 labels of a question. Medians over more than
+MAX_VALUES triplets are found by counting in bins and sorting the middle bin only, else in memory. A table of annotators is broadcast if it has at most MAX_BROADCAST rows (counted), else joined by shuffle with salted keys.
 
 Defined cases: rows with an error, without choices or with unreadable choices only are no ballots; null choices are none, null and
 repeated ids in a choice are ignored, an empty choice is a choice; ties in seq go by the choices' order in sorting; rows with null
@@ -21,13 +22,16 @@ selection rate; annotators are taken to be better than chance unless most of the
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.runtime import HOT_KEYS, salted_join, table, written
 
 MAX_BROADCAST = 100_000
-REACH = 31
+BLOCK = 32  # ballots in a block
+MAX_VALUES = 500_000
 EDGE = 1e-4  # rates stay this far from 0 and 1
 UNKNOWN = 0.5  # J where it can't be estimated
 
@@ -54,49 +58,82 @@ def ranks(cast: DataFrame) -> DataFrame:
     return cast.groupBy("vote").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "vote")))
 
 
-def triplets(cast: DataFrame, order: DataFrame, labels: int, reach: int = REACH) -> DataFrame:
-    """(i, j, k, questions, cij, cik, cjk, t): second and third central moments of the ballots of three annotators within `reach` ranks.
+def triplets(cast: DataFrame, order: DataFrame | None, labels: int, reach: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(i, j, k, questions, cij, cik, cjk, t): second and third central moments of the ballots of every three annotators who met.
 
-    order: ranks(cast); labels: how many labels an item can have."""
-    both = lambda x, y: F.array_intersect(x, y)
-    one = lambda h, u, v: F.struct(h["v"].alias("i"), u["v"].alias("j"), v["v"].alias("k"), F.size(h["s"]).alias("x"), F.size(u["s"]).alias("y"), F.size(v["s"]).alias("z"), F.size(both(h["s"], u["s"])).alias("xy"), F.size(both(h["s"], v["s"])).alias("xz"), F.size(both(u["s"], v["s"])).alias("yz"), F.size(both(both(h["s"], u["s"]), v["s"])).alias("xyz"))
-    later = lambda p, u: F.filter(p, lambda v: v["v"] > u["v"])
-    with_partners = lambda h, p: F.flatten(F.transform(p, lambda u: F.transform(later(p, u), lambda v: one(h, u, v))))
-    ballot = lambda v: F.struct(F.col(v).alias("v"), F.col("labels").alias("s"))
-    if order.count() <= reach + 1:  # all annotators reach each other, and a question has at most so many: its ballots are one row
-        rows = cast.groupBy("question_id").agg(F.collect_list(ballot("vote")).alias("p"))
-        three = F.flatten(F.transform("p", lambda h: with_partners(h, later(F.col("p"), h))))
+    order: ranks(cast), read only with `reach`; labels: how many labels an item can have; reach: only triplets within so many ranks, which no query asks for."""
+    # Ballots go by (place, vote) in every question and block, so three annotators always come in one order.
+    own = cast.select("question_id", F.pmod(F.xxhash64("vote"), F.lit(1 << 31)).alias("place"), "vote", "labels")
+    width = cast.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
+    if (width.agg(F.max("n").alias("n")).first().n or 0) <= block:
+        own = own.withColumn("b", F.lit(0)).withColumn("key", F.array(*[F.lit(0)] * 3))
     else:
-        links = order.select(F.col("vote").alias("i"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + reach)).alias("r")).join(order.select("r", F.col("vote").alias("j")), "r").drop("r")
-        own = cast.select("question_id", F.col("vote").alias("i"), ballot("vote").alias("h"))
-        met = salted_join(own, links.groupBy("i").agg(F.collect_list("j").alias("js")), ["i"]).select("question_id", "i", "h", F.explode("js").alias("j"))
-        met = met.join(cast.select("question_id", F.col("vote").alias("j"), ballot("vote").alias("b")), ["question_id", "j"])
-        # At most `reach` partners a row.
-        rows = met.groupBy("question_id", "i").agg(F.first("h").alias("h"), F.collect_list("b").alias("p"))
-        three = with_partners(F.col("h"), F.col("p"))
-    sums = rows.select(F.inline(three)).groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("questions"), *(F.sum(x).alias(x) for x in ("x", "y", "z", "xy", "xz", "yz", "xyz")))
+        own = salted_join(own, width.select("question_id", F.ceil(F.col("n") / block).cast("int").alias("parts")), ["question_id"])
+        own = own.withColumn("b", F.floor(F.col("place") * F.col("parts") / F.lit(float(1 << 31))).cast("int"))
+        own = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("parts") - 1)))
+        own = own.withColumn("key", F.sort_array(F.array("b", "x", "y")))  # the three blocks of h, u and v
+    rows = own.groupBy("question_id", "key").agg(F.sort_array(F.collect_list(F.struct("place", "vote", "b", "labels"))).alias("p"))
+    rows = rows.withColumn("all", F.array_distinct(F.flatten("p.labels")))
+    rows = rows.select("key", "p", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("all") - 1) / 64).cast("int")))).alias("c"))
+    rows = rows.select("key", "p", "c", F.slice("all", F.col("c") * 64 + 1, 64).alias("all"))
+    zero = F.lit(0).cast("bigint")
+    bit = lambda x: F.array_position(F.col("all"), x).cast("int")
+    mask = lambda s: F.aggregate(s, zero, lambda m, x: m + F.when(bit(x) > 0, F.call_function("shiftleft", zero + 1, bit(x) - 1)).otherwise(zero))
+    rows = rows.select("key", "c", F.transform("p", lambda v: F.struct(v["b"].alias("b"), F.struct(v["vote"].alias("v"), mask(v["labels"]).alias("m")).alias("o"))).alias("p"))
+    of = lambda n: F.filter("p", lambda v: v["b"] == F.col("key")[n])["o"].alias(f"p{n}")
+    rows = rows.select("c", *((F.col("key")[n] == F.col("key")[n + 1]).alias(f"same{n}") for n in (0, 1)), of(0), of(1), of(2))
+    start = lambda n, at: F.when(F.col(f"same{n}"), at + 2).otherwise(1)  # noqa: E731  # where the next one's partners begin; `at` counts from 0
+    pair = lambda h, u, at: F.struct(h["v"].alias("i"), h["m"].alias("a"), u["v"].alias("j"), u["m"].alias("b"), start(1, at).alias("at"))
+    seconds = lambda h, n: F.transform(F.slice("p1", start(0, n), F.size("p1")), lambda u, m: pair(h, u, m + start(0, n) - 1))
+    three = rows.select("c", "p2", F.inline(F.flatten(F.transform("p0", seconds))))
+    three = three.select("c", "i", "a", "j", "b", F.inline(F.slice("p2", F.col("at"), F.size("p2"))).alias("k", "d"))
+    met = lambda cols: F.sum(F.bit_count(functools.reduce(Column.bitwiseAND, map(F.col, cols))))
+    common = {"x": "a", "y": "b", "z": "d", "xy": "ab", "xz": "ad", "yz": "bd", "xyz": "abd"}
+    sums = three.groupBy("i", "j", "k").agg(F.sum((F.col("c") == 0).cast("bigint")).alias("questions"), *(met(v).alias(n) for n, v in common.items()))
+    if reach is not None:
+        for v in "ijk":
+            sums = sums.join(order.select(F.col("vote").alias(v), F.col("r").alias(f"r{v}")), v)
+        sums = sums.where(F.greatest("ri", "rj", "rk") - F.least("ri", "rj", "rk") <= reach)
     m = {x: F.col(x) / (F.col("questions") * F.lit(float(labels))) for x in ("x", "y", "z", "xy", "xz", "yz", "xyz")}
     third = m["xyz"] - m["xy"] * m["z"] - m["xz"] * m["y"] - m["yz"] * m["x"] + 2 * m["x"] * m["y"] * m["z"]
     return sums.select("i", "j", "k", "questions", (m["xy"] - m["x"] * m["y"]).alias("cij"), (m["xz"] - m["x"] * m["z"]).alias("cik"), (m["yz"] - m["y"] * m["z"]).alias("cjk"), third.alias("t"))
 
 
+def medians(df: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """(keys, median, n): exact median of the column v, which is not negative, and number of rows.
+
+    small: the values fit in memory. Else they are counted in bins, and only those of the bins that hold the middle are sorted."""
+    if small:
+        return df.groupBy(*keys).agg(F.median("v").alias("median"), F.count(F.lit(1)).alias("n"))
+    binned = df.withColumn("bin", F.floor(F.least("v", F.lit(256.0)) * 16384))
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto, of = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")), F.sum("n").over(Window.partitionBy(*keys))
+    first, last = F.floor((F.col("of") + 1) / 2), F.floor((F.col("of") + 2) / 2)
+    middle = lambda d: d.where((F.col("upto") >= first) & (F.col("upto") - F.col("n") < last))
+    bins = written(middle(counts.withColumn("upto", upto).withColumn("of", of)).select(*keys, "bin", (F.col("upto") - F.col("n")).alias("before"), "of"), "bins")
+    near = binned.join(F.broadcast(bins), [*keys, "bin"]) if bins.count() <= MAX_BROADCAST else salted_join(binned, bins, [*keys, "bin"])
+    values = near.groupBy(*keys, "bin", "before", "of", "v").agg(F.count(F.lit(1)).alias("n"))
+    values = middle(values.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v"))))
+    return values.groupBy(*keys).agg((F.min("v") * 0.5 + F.max("v") * 0.5).alias("median"), F.max("of").alias("n"))
+
+
 def reliability(cast: DataFrame) -> DataFrame:
     """(vote, ballots, yes_rate, prior, triplets, informedness, tpr, fpr, accuracy, w_yes, w_no) per annotator; rates are over all items of the annotator's questions.
 
     triplets: those that the estimate rests on."""
     size = cast.select(F.explode("labels").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l").alias("k")).first()
     labels = max(1, size.k)
-    order = written(ranks(cast), "annotators")
-    three = written(triplets(cast, order, labels), "triplets")
+    three = written(triplets(cast, None, labels), "triplets")
+    small = three.count() <= MAX_VALUES
     product = F.col("cij") * F.col("cik") * F.col("cjk")
     good = three.where(product > 0)
     skew = F.col("t") / F.sqrt(product)
     total = cast.count()
-    prior = good.agg(F.median((1 - skew / F.sqrt(skew * skew + 4)) / 2).alias("p")).first().p
+    prior = medians(good.select(((1 - skew / F.sqrt(skew * skew + 4)) / 2).alias("v")), [], small).first().median
     prior = min(max(prior if prior is not None else size.n / max(1, total * labels), EDGE), 1 - EDGE)
     sides = [("i", "cij", "cik", "cjk"), ("j", "cij", "cjk", "cik"), ("k", "cik", "cjk", "cij")]
     ends = lambda df, f: df.select(F.inline(F.array(*(F.struct(F.col(v).alias("vote"), f(F.col(x), F.col(y), F.col(z)).alias("v")) for v, x, y, z in sides))))
-    size_of_j = ends(good, lambda x, y, z: F.sqrt(x * y / z)).groupBy("vote").agg((F.median("v") / F.sqrt(F.lit(prior * (1 - prior)))).alias("j_abs"), F.count(F.lit(1)).alias("triplets"))
+    size_of_j = medians(ends(good, lambda x, y, z: F.sqrt(x * y / z)), ["vote"], small).select("vote", (F.col("median") / F.sqrt(F.lit(prior * (1 - prior)))).alias("j_abs"), F.col("n").alias("triplets"))
     side = ends(three, lambda x, y, z: F.signum(x) + F.signum(y)).groupBy("vote").agg(F.when(F.sum("v") < 0, -1.0).otherwise(1.0).alias("side"))
     rates = cast.groupBy("vote").agg(F.count(F.lit(1)).alias("ballots"), (F.sum(F.size("labels")) / (F.count(F.lit(1)) * F.lit(float(labels)))).alias("yes_rate"))
     out = rates.join(size_of_j, "vote", "left").join(side, "vote", "left")
